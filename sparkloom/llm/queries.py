@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op7_minhash as op7
 from . import op10_decontaminate as op10
 from .common import table
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.digest(op10.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+}
 
 ORACLE: dict[str, str] = {}
