@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op2_suffix_dedup as op2
 from . import op7_minhash as op7
 from . import op10_decontaminate as op10
 from .common import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.digest(op2.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -18,6 +23,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
