@@ -9,8 +9,10 @@
 3. Pairs pass the signature estimate, then the exact ratio of the full sets.
 4. Alternating large-star and small-star gives the components.
 5. Buckets that still hold several components are compared fully, in slices of a
-   fixed size, by signature inside the task; only pairs that pass the estimate
-   leave it, and they are confirmed on full sets. So no pivot choice loses a link.
+   fixed size, by signature inside the task. What is alike forms clusters (wider
+   than components); each cluster that holds several components is compared once
+   more, on full sets. Either leaves only a spanning forest, so rows stay in
+   proportion to the documents, and no pivot choice loses a link.
 
 Null or empty texts have no shingles, link with nothing and are kept. Rows that
 share a doc_id are one node. A null doc_id takes no part in links and is kept.
@@ -33,7 +35,7 @@ from .common import cut, groups, row_slices
 BANDS, ROWS = 44, 6
 #: Share of equal minima below which a pair isn't confirmed: 0.8 less five standard deviations of the estimate.
 LEAST_EQUAL = 0.68
-SLICE = 2048
+SLICE = 1024
 _CHUNK = 1 << 14
 _M = (1 << 64) - 1
 
@@ -163,9 +165,8 @@ def _alike(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+def _full(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and the full shingle set, as sorted hashes, of the documents in ids (doc_id)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
@@ -174,42 +175,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                 full = [shingle_set(t, k, cache).tobytes() for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(full, pa.binary())], names=["doc_id", "full"])
 
-    full = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id bigint, full binary"))
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id bigint, full binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the similarity."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    full = cut(_full(ids, docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("fa"), t.column("fb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(t.column("fa"), t.column("fb"), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures are alike; members: h, rep, comp, n, sig, size.
+def _forest(members: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
+    """Edges that join what is alike in a group but has different components; members: key, rep, comp, n, sig, size and full, if exact.
 
-    A bucket is cut into slices; each pair of slices is a unit of at most twice
-    SLICE rows, so a hot bucket spreads over many tasks.
+    Alike is what the signatures say or, if exact, the full sets too. A group is
+    cut into slices; each pair of slices is a unit of at most about twice SLICE
+    rows, so a hot group spreads over many tasks. A unit returns a spanning
+    forest, fewer edges than it has rows, whatever the number of pairs alike.
     """
+    least = LEAST_EQUAL - (0.8 - percent / 100)
     slices = F.ceil(F.col("size") / SLICE).cast("int")
     own = F.pmod(F.xxhash64("rep"), slices.cast("bigint")).cast("int")
     units = members.withColumn("slices", slices).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    units = units.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig")
+    units = units.select(F.col(key).alias("h"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig", *["full"] * exact)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in groups(batches, ["h", "i", "j"]):
             sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
             own, rep, comp, n = (np.array([r[c] for r in rows]) for c in ("own", "rep", "comp", "n"))
+            full = [np.frombuffer(r["full"], np.uint64) for r in rows] if exact else []
             a, b = [], []
             for x in np.flatnonzero(own == i):
                 y = np.flatnonzero((comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & ((own == j) if i != j else (np.arange(len(rows)) > x)))
-                y = y[_estimate(sig[y], sig[x]) >= LEAST_EQUAL - (0.8 - percent / 100)] if len(y) else y
-                a += [min(rep[x], v) for v in rep[y]]
-                b += [max(rep[x], v) for v in rep[y]]
+                y = y[_estimate(sig[y], sig[x]) >= least] if len(y) else y
+                for z in y.tolist():
+                    if comp[z] != comp[x] and (not exact or _linked(full[x], full[z], percent)):
+                        a.append(min(rep[x], rep[z]))
+                        b.append(max(rep[x], rep[z]))
+                        comp[comp == max(comp[x], comp[z])] = min(comp[x], comp[z])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -234,9 +249,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comp = components(links)
     labelled = shared.join(comp, F.expr("rep = node"), "left").select("h", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    rest = cut(_across(labelled.join(mixed, "h", "left_semi").join(light, "rep"), percent).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comp = components(links.union(_confirmed(rest, plain, k, percent)))
+    alike = cut(_forest(labelled.join(mixed, "h", "left_semi").join(light, "rep"), "h", percent, False))
+    if not alike.isEmpty():
+        cluster = components(links.union(alike)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        known = cluster.join(comp, F.expr("rep = node"), "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
+        several = known.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster", "size")
+        members = cut(known.join(several, "cluster"))
+        full = _full(members.select(F.col("rep").alias("doc_id")), plain, k).withColumnRenamed("doc_id", "rep")
+        more = cut(_forest(members.join(light, "rep").join(full, "rep"), "cluster", percent, True))
+        comp = components(links.union(more))
     named = classes.join(comp, F.expr("rep = node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
     out = sig.join(named, "key", "left")
     linked = F.col("doc_id").isNotNull() & F.col("key").isNotNull()
