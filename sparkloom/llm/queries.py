@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op2_suffix_dedup as op2
 from . import op7_minhash as op7
+from . import op8_toxicity as op8
 from . import op10_decontaminate as op10
 from .common import table
 
@@ -18,6 +19,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.digest(op10.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -25,6 +30,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
