@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only where the setting is missing (tests, a laptop) a local folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; where it is unset (tests, a laptop), a local one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
