@@ -239,9 +239,24 @@ def _unpack6(b: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers in one compressed string: dtype, length and bytes of each."""
+    raw = b"".join(len(x).to_bytes(4, "little") + np.dtype(x.dtype).str[1:].encode() + x.tobytes() for x in arrays)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(b: bytes) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(b[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "little"), np.dtype(raw[at + 4 : at + 6].decode())
+        out.append(np.frombuffer(raw, kind, n, at + 6))
+        at += 6 + n * kind.itemsize
+    return out
+
+
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -251,13 +266,13 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 #: What moves between the steps: a bucket or a block, the kind of row, and packed arrays.
-_WIRE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "c", "d"))])
-_DDL = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary"
+_WIRE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "c"))])
+_DDL = "bucket bigint, block bigint, kind int, a binary, b binary, c binary"
 _BLOCK, _ASK, _REPLY, _STATE, _SEGMENT, _MINIMA = range(6)
 
 
-def _row(bucket: int | None, block: int | None, kind: int, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"") -> dict:
-    return {"bucket": bucket, "block": block, "kind": kind, "a": a, "b": b, "c": c, "d": d}
+def _row(bucket: int | None, block: int | None, kind: int, a: bytes = b"", b: bytes = b"", c: bytes = b"") -> dict:
+    return {"bucket": bucket, "block": block, "kind": kind, "a": a, "b": b, "c": c}
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -278,6 +293,14 @@ def _open(row: dict) -> tuple[pa.RecordBatch, Block]:
     return batch, Block(batch)
 
 
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bucket that has any, the indices of its rows, in order."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
+
+
 def _ask(buckets: int):
     """Blocks -> by bucket, the anchors and the chunks that they have."""
 
@@ -286,14 +309,13 @@ def _ask(buckets: int):
             for row in batch.to_pylist():
                 _, block = _open(row)
                 h, (name, low, _) = block.anchors(), block.chunks()
-                hb, cb = (h >> np.uint64(1)) % np.uint64(buckets), name[:, 0] % np.uint64(buckets)
-                ho, co = np.argsort(hb, kind="stable"), np.argsort(cb, kind="stable")
-                he, ce = np.searchsorted(hb[ho], np.arange(buckets + 1)), np.searchsorted(cb[co], np.arange(buckets + 1))
+                anchors = dict(_dealt((h >> np.uint64(1)) % np.uint64(buckets), buckets))
+                chunks = dict(_dealt(name[:, 0] % np.uint64(buckets), buckets))
+                none = np.zeros(0, np.int64)
                 out = []
-                for k in range(buckets):
-                    x, y = ho[he[k] : he[k + 1]], co[ce[k] : ce[k + 1]]
-                    if len(x) or len(y):
-                        out.append(_row(k, row["block"], _ASK, _pack6(h[x]), name[y].tobytes(), low[y].tobytes()))
+                for k in sorted(anchors.keys() | chunks.keys()):
+                    x, y = anchors.get(k, none), chunks.get(k, none)
+                    out.append(_row(k, row["block"], _ASK, _pack6(h[x]), name[y].tobytes(), low[y].tobytes()))
                 if out:
                     yield _rows(out, _WIRE)
 
@@ -324,8 +346,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smaller = least[place.ravel()] < low if len(low) else np.zeros(0, bool)
         for i, r in enumerate(rows):
             x, y = keep & (of == i), smaller & (at == i)
-            if x.any() or y.any():
-                yield _rows([_row(r["bucket"], r["block"], _REPLY, _pack6(h[x] >> np.uint64(1)), names[y].tobytes(), least[place.ravel()[y]].tobytes())], _WIRE)
+            if x.any() or y.any():  # a bit for each anchor and each chunk that was asked for, in the order asked
+                yield _rows([_row(r["bucket"], r["block"], _REPLY, np.packbits(keep[of == i]).tobytes(), np.packbits(smaller[at == i]).tobytes(), _zip(least[place.ravel()[y]]))], _WIRE)
 
 
 def _segments(buckets: int):
@@ -334,14 +356,18 @@ def _segments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups(batches, ["block"]):
             _, block = _open(rows[0])
-            shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack6(r["a"]) for r in rows[1:])]))
-            known = np.concatenate([np.zeros((0, 2), np.uint64), *(np.frombuffer(r["b"], np.uint64).reshape(-1, 2) for r in rows[1:])])
-            lows = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in rows[1:])])
-            name, low, place = block.chunks()
-            if len(known):
-                at = {x.tobytes(): i for i, x in enumerate(name)}
-                where = np.array([at[x.tobytes()] for x in known], np.int64)
-                low[where] = np.minimum(low[where], lows)
+            asked, (name, low, place) = block.anchors(), block.chunks()
+            anchors = dict(_dealt((asked >> np.uint64(1)) % np.uint64(buckets), buckets))
+            chunks = dict(_dealt(name[:, 0] % np.uint64(buckets), buckets))
+            is_shared = np.zeros(len(asked), bool)
+            for r in rows[1:]:
+                x, y = anchors.get(r["bucket"]), chunks.get(r["bucket"])
+                if x is not None:
+                    is_shared[x] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=len(x)).astype(bool)
+                if y is not None:
+                    y = y[np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(y)).astype(bool)]
+                    low[y] = np.minimum(low[y], _unzip(r["c"])[0])
+            shared = asked[is_shared] >> np.uint64(1)
             settled = (low[place] < block.ids[block.chunk_doc])[block.chunk] if len(name) else np.zeros(0, bool)
             h = block.key[block.anchor] >> np.uint64(17)
             at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
@@ -364,15 +390,10 @@ def _segments(buckets: int):
             least = np.full(len(pick), _NONE, np.int64)
             np.minimum.at(least, of, block.ids[block.doc[a]])
             bounds = np.flatnonzero(np.diff(np.concatenate([[0], settled.astype(np.int8), [0]])))
-            out = [_row(None, number, _STATE, bounds.astype(np.int32).tobytes(), a.astype(np.int32).tobytes(), of.astype(np.int32).tobytes(), np.concatenate([least, n[pick]]).astype(np.int64).tobytes())]
-            bucket = (block.key[block.anchor[a[pick]]] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for k in range(buckets):
-                x = by[ends[k] : ends[k + 1]]
-                if len(x):
-                    data = b"".join(raw[s : s + m] for s, m in zip(start[pick[x]].tolist(), n[pick[x]].tolist(), strict=True))
-                    out.append(_row(k, number, _SEGMENT, data, n[pick[x]].astype(np.int32).tobytes(), least[x].tobytes(), x.astype(np.int32).tobytes()))
+            out = [_row(None, number, _STATE, _zip(np.diff(bounds, prepend=0).astype(np.int32), np.diff(a, prepend=0).astype(np.int32), of.astype(np.int32), least, n[pick].astype(np.int16)))]
+            for k, x in _dealt((block.key[block.anchor[a[pick]]] % np.uint64(buckets)).astype(np.int64), buckets):
+                data = b"".join(raw[s : s + m] for s, m in zip(start[pick[x]].tolist(), n[pick[x]].tolist(), strict=True))
+                out.append(_row(k, number, _SEGMENT, _zip(np.frombuffer(data, np.uint8), n[pick[x]].astype(np.int16), least[x], x.astype(np.int32))))
             yield _rows(out, _WIRE)
 
     return run
@@ -381,14 +402,15 @@ def _segments(buckets: int):
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket: segments -> for each block the smallest document of each window of its segments, where it is another's."""
     for _, rows in groups(batches, ["bucket"]):
-        n = [np.frombuffer(r["b"], np.int32).astype(np.int64) for r in rows]
+        parts_ = [_unzip(r["a"]) for r in rows]
+        n = [p[1].astype(np.int64) for p in parts_]
         of = np.repeat(np.arange(len(rows)), [len(x) for x in n])
-        size, owner = np.concatenate(n), np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows])
+        size, owner = np.concatenate(n), np.concatenate([p[2] for p in parts_])
         begin = np.cumsum(size) - size
         count = size - LENGTH + 1
         segment = np.repeat(np.arange(len(size)), count)
         offset = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
-        low = window_minima(np.frombuffer(b"".join(r["a"] for r in rows), np.uint8), begin[segment] + offset, owner[segment])
+        low = window_minima(np.concatenate([p[0] for p in parts_]), begin[segment] + offset, owner[segment])
         less = np.flatnonzero(low < owner[segment])
         if not len(less):
             continue
@@ -396,18 +418,18 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (np.diff(off) != 1) | (low[1:] != low[:-1])]))
         length = np.diff(np.append(fresh, len(seg)))
         seg, off, low = seg[fresh], off[fresh], low[fresh]
-        own = np.concatenate([np.frombuffer(r["d"], np.int32) for r in rows])
+        own = np.concatenate([p[3] for p in parts_])
         for i, r in enumerate(rows):
             x = of[seg] == i
             if x.any():
-                yield _rows([_row(r["bucket"], r["block"], _MINIMA, own[seg[x]].astype(np.int32).tobytes(), np.stack([off[x], length[x]]).astype(np.int32).tobytes(), low[x].tobytes())], _WIRE)
+                yield _rows([_row(r["bucket"], r["block"], _MINIMA, _zip(own[seg[x]], off[x].astype(np.int8), length[x].astype(np.int8), low[x]))], _WIRE)
 
 
 def _spans(block: Block, rows: list[dict]) -> np.ndarray:
     """Which bytes of the block go."""
     state = next(r for r in rows if r["kind"] == _STATE)
-    bounds, a, of = (np.frombuffer(state[c], np.int32).astype(np.int64) for c in ("a", "b", "c"))
-    least, n = np.frombuffer(state["d"], np.int64).reshape(2, -1)
+    bounds, a, of, least, n = (x.astype(np.int64) for x in _unzip(state["a"]))
+    bounds, a = np.cumsum(bounds), np.cumsum(a)
     gone = np.zeros(len(block.start) + 1, np.int64)
     gone[bounds[::2]] += 1
     gone[bounds[1::2]] -= 1
@@ -417,7 +439,7 @@ def _spans(block: Block, rows: list[dict]) -> np.ndarray:
     low = np.repeat(least, count)
     for r in rows:
         if r["kind"] == _MINIMA:
-            seg, (off, length), value = np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.int32).reshape(2, -1), np.frombuffer(r["c"], np.int64)
+            seg, off, length, value = (x.astype(np.int64) for x in _unzip(r["a"]))
             first = base[seg] + off
             at = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
             low[at] = np.minimum(low[at], np.repeat(value, length))
