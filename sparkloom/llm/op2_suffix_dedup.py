@@ -159,9 +159,8 @@ def window_minima(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.
 class Block:
     """Whole documents as one byte string, its chunks and its anchored runs of windows."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("_text").to_pylist()]
-        ids = batch.column("_id").to_pylist()
+    def __init__(self, ids: list[int | None], texts: list[str | None]):
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.known = np.array([i is not None for i in ids], bool)
         self.ids = np.array([_NONE if i is None else i for i in ids], np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
@@ -268,29 +267,29 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 #: What moves between the steps: a bucket or a block, the kind of row, and packed arrays.
 _WIRE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "c"))])
 _DDL = "bucket bigint, block bigint, kind int, a binary, b binary, c binary"
-_BLOCK, _ASK, _REPLY, _STATE, _SEGMENT, _MINIMA = range(6)
+_BLOCK, _ASK, _REPLY, _SEGMENT, _MINIMA = range(5)
 
 
 def _row(bucket: int | None, block: int | None, kind: int, a: bytes = b"", b: bytes = b"", c: bytes = b"") -> dict:
     return {"bucket": bucket, "block": block, "kind": kind, "a": a, "b": b, "c": c}
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _blocks(docs: DataFrame, text: str) -> DataFrame:
     """The documents, all columns, in compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in row_slices(batch, "_text", BLOCK_BYTES):
+            for piece in row_slices(batch, text, BLOCK_BYTES):
                 yield _rows([_row(None, (task << 32) + n, _BLOCK, _ipc(piece))], _WIRE)
                 n += 1
 
-    return docs.select("*", F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).mapInArrow(run, _DDL)
+    return docs.mapInArrow(run, _DDL)
 
 
-def _open(row: dict) -> tuple[pa.RecordBatch, Block]:
+def _open(row: dict, names: tuple[str, str]) -> tuple[pa.RecordBatch, Block]:
     batch = pa.ipc.open_stream(row["a"]).read_next_batch()
-    return batch, Block(batch)
+    return batch, Block(batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist())
 
 
 def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -301,13 +300,13 @@ def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield k, order[ends[k] : ends[k + 1]]
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, names: tuple[str, str]):
     """Blocks -> by bucket, the anchors and the chunks that they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, block = _open(row)
+                _, block = _open(row, names)
                 h, (name, low, _) = block.anchors(), block.chunks()
                 anchors = dict(_dealt((h >> np.uint64(1)) % np.uint64(buckets), buckets))
                 chunks = dict(_dealt(name[:, 0] % np.uint64(buckets), buckets))
@@ -350,51 +349,66 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows([_row(r["bucket"], r["block"], _REPLY, np.packbits(keep[of == i]).tobytes(), np.packbits(smaller[at == i]).tobytes(), _zip(least[place.ravel()[y]]))], _WIRE)
 
 
-def _segments(buckets: int):
-    """Blocks and answers -> per block what is settled and which runs are open; by bucket, the open segments."""
+class _Open:
+    """What the answers leave open in a block: which windows are settled, and the distinct segments of the others.
+
+    settled: by window; a, b: first and last window of each run; of: the segment
+    of each run; start, n, least: bytes and smallest document of each segment.
+    """
+
+    def __init__(self, *fields: np.ndarray):
+        self.settled, self.a, self.of, self.pick, self.start, self.n, self.least = fields
+
+
+def _opened(block: Block, answers: list[dict], buckets: int) -> _Open:
+    asked, (name, low, place) = block.anchors(), block.chunks()
+    anchors = dict(_dealt((asked >> np.uint64(1)) % np.uint64(buckets), buckets))
+    chunks = dict(_dealt(name[:, 0] % np.uint64(buckets), buckets))
+    is_shared = np.zeros(len(asked), bool)
+    for r in answers:
+        x, y = anchors.get(r["bucket"]), chunks.get(r["bucket"])
+        if x is not None:
+            is_shared[x] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=len(x)).astype(bool)
+        if y is not None:
+            y = y[np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(y)).astype(bool)]
+            low[y] = np.minimum(low[y], _unzip(r["c"])[0])
+    shared = asked[is_shared] >> np.uint64(1)
+    settled = (low[place] < block.ids[block.chunk_doc])[block.chunk] if len(name) else np.zeros(0, bool)
+    h = block.key[block.anchor] >> np.uint64(17)
+    at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+    a, b = block.runs(~settled & (shared[at] == h if len(shared) else np.zeros(len(h), bool)))
+    # Distinct segments of this block, and the smallest document of each.
+    start, n = block.start[a], b - a + LENGTH
+    mark = block.text.at(start, n) * np.uint64(_INV) + _mix(n.astype(np.uint64))
+    order = np.lexsort((block.ids[block.doc[a]], block.key[block.anchor[a]], mark))
+    fresh = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (block.key[block.anchor[a]][order][1:] != block.key[block.anchor[a]][order][:-1])])[: len(a)]
+    raw, group = block.data.tobytes(), np.cumsum(fresh) - 1
+    if len(a):  # a collision of hashes must not merge segments
+        lead = order[np.flatnonzero(fresh)][group]
+        same = np.fromiter((x == y or raw[start[x] : start[x] + n[x]] == raw[start[y] : start[y] + n[y]] for x, y in zip(order.tolist(), lead.tolist(), strict=True)), bool, len(order))
+        if not same.all():
+            order, group = np.arange(len(a)), np.arange(len(a))
+            fresh = np.ones(len(a), bool)
+    of = np.empty(len(a), np.int64)
+    of[order] = group
+    pick = order[np.flatnonzero(fresh)] if len(a) else order
+    least = np.full(len(pick), _NONE, np.int64)
+    np.minimum.at(least, of, block.ids[block.doc[a]])
+    return _Open(settled, a, of, pick, start[pick], n[pick], least)
+
+
+def _segments(buckets: int, names: tuple[str, str]):
+    """Blocks and answers -> by bucket, the open segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups(batches, ["block"]):
-            _, block = _open(rows[0])
-            asked, (name, low, place) = block.anchors(), block.chunks()
-            anchors = dict(_dealt((asked >> np.uint64(1)) % np.uint64(buckets), buckets))
-            chunks = dict(_dealt(name[:, 0] % np.uint64(buckets), buckets))
-            is_shared = np.zeros(len(asked), bool)
-            for r in rows[1:]:
-                x, y = anchors.get(r["bucket"]), chunks.get(r["bucket"])
-                if x is not None:
-                    is_shared[x] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=len(x)).astype(bool)
-                if y is not None:
-                    y = y[np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(y)).astype(bool)]
-                    low[y] = np.minimum(low[y], _unzip(r["c"])[0])
-            shared = asked[is_shared] >> np.uint64(1)
-            settled = (low[place] < block.ids[block.chunk_doc])[block.chunk] if len(name) else np.zeros(0, bool)
-            h = block.key[block.anchor] >> np.uint64(17)
-            at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-            a, b = block.runs(~settled & (shared[at] == h if len(shared) else np.zeros(len(h), bool)))
-            # Distinct segments of this block, and the smallest document of each.
-            start, n = block.start[a], b - a + LENGTH
-            mark = block.text.at(start, n) * np.uint64(_INV) + _mix(n.astype(np.uint64))
-            order = np.lexsort((block.ids[block.doc[a]], block.key[block.anchor[a]], mark))
-            fresh = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (block.key[block.anchor[a]][order][1:] != block.key[block.anchor[a]][order][:-1])])[: len(a)]
-            raw, group = block.data.tobytes(), np.cumsum(fresh) - 1
-            if len(a):  # a collision of hashes must not merge segments
-                lead = order[np.flatnonzero(fresh)][group]
-                same = np.fromiter((x == y or raw[start[x] : start[x] + n[x]] == raw[start[y] : start[y] + n[y]] for x, y in zip(order.tolist(), lead.tolist(), strict=True)), bool, len(order))
-                if not same.all():
-                    order, group = np.arange(len(a)), np.arange(len(a))
-                    fresh = np.ones(len(a), bool)
-            of = np.empty(len(a), np.int64)
-            of[order] = group
-            pick = order[np.flatnonzero(fresh)] if len(a) else order
-            least = np.full(len(pick), _NONE, np.int64)
-            np.minimum.at(least, of, block.ids[block.doc[a]])
-            bounds = np.flatnonzero(np.diff(np.concatenate([[0], settled.astype(np.int8), [0]])))
-            out = [_row(None, number, _STATE, _zip(np.diff(bounds, prepend=0).astype(np.int32), np.diff(a, prepend=0).astype(np.int32), of.astype(np.int32), least, n[pick].astype(np.int16)))]
-            for k, x in _dealt((block.key[block.anchor[a[pick]]] % np.uint64(buckets)).astype(np.int64), buckets):
-                data = b"".join(raw[s : s + m] for s, m in zip(start[pick[x]].tolist(), n[pick[x]].tolist(), strict=True))
-                out.append(_row(k, number, _SEGMENT, _zip(np.frombuffer(data, np.uint8), n[pick[x]].astype(np.int16), least[x], x.astype(np.int32))))
-            yield _rows(out, _WIRE)
+            _, block = _open(rows[0], names)
+            left, raw, out = _opened(block, rows[1:], buckets), block.data.tobytes(), []
+            for k, x in _dealt((block.key[block.anchor[left.a[left.pick]]] % np.uint64(buckets)).astype(np.int64), buckets):
+                data = b"".join(raw[s : s + m] for s, m in zip(left.start[x].tolist(), left.n[x].tolist(), strict=True))
+                out.append(_row(k, number, _SEGMENT, _zip(np.frombuffer(data, np.uint8), left.n[x].astype(np.int16), left.least[x], x.astype(np.int32))))
+            if out:
+                yield _rows(out, _WIRE)
 
     return run
 
@@ -425,15 +439,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows([_row(r["bucket"], r["block"], _MINIMA, _zip(own[seg[x]], off[x].astype(np.int8), length[x].astype(np.int8), low[x]))], _WIRE)
 
 
-def _spans(block: Block, rows: list[dict]) -> np.ndarray:
+def _spans(block: Block, rows: list[dict], buckets: int) -> np.ndarray:
     """Which bytes of the block go."""
-    state = next(r for r in rows if r["kind"] == _STATE)
-    bounds, a, of, least, n = (x.astype(np.int64) for x in _unzip(state["a"]))
-    bounds, a = np.cumsum(bounds), np.cumsum(a)
-    gone = np.zeros(len(block.start) + 1, np.int64)
-    gone[bounds[::2]] += 1
-    gone[bounds[1::2]] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
+    left = _opened(block, [r for r in rows if r["kind"] == _REPLY], buckets)
+    gone, a, of, n, least = left.settled.copy(), left.a, left.of, left.n, left.least
     count = n - LENGTH + 1
     base = np.cumsum(count) - count
     low = np.repeat(least, count)
@@ -466,19 +475,19 @@ def _text(raw: bytes, gone: np.ndarray) -> str:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, then _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left)."""
-    buckets, columns = 4 * parts(docs.sparkSession), list(docs.columns)
-    blocks = cut(_blocks(docs, doc_id, text))
+    buckets, columns, names = 4 * parts(docs.sparkSession), list(docs.columns), (doc_id, text)
+    blocks = cut(_blocks(docs, text))
     by = lambda df, key: df.repartition(key).sortWithinPartitions(key, "kind")
-    answers = by(blocks.mapInArrow(_ask(buckets), _DDL), "bucket").mapInArrow(_answer, _DDL)
-    opened = cut(by(blocks.union(answers), "block").mapInArrow(_segments(buckets), _DDL))
-    lows = by(opened.where(F.col("kind") == _SEGMENT), "bucket").mapInArrow(_sorted, _DDL)
-    last = by(blocks.union(opened.where(F.col("kind") == _STATE)).union(lows), "block")
+    answers = cut(by(blocks.mapInArrow(_ask(buckets, names), _DDL), "bucket").mapInArrow(_answer, _DDL))
+    segments = by(blocks.union(answers), "block").mapInArrow(_segments(buckets, names), _DDL)
+    lows = by(segments, "bucket").mapInArrow(_sorted, _DDL)
+    last = by(blocks.union(answers).union(lows), "block")
     extra = pa.schema([("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_n_spans", pa.int64()), ("_kept_sha256", pa.string()), ("_kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["block"]):
-            batch, block = _open(rows[0])
-            gone = _spans(block, rows[1:])
+            batch, block = _open(rows[0], names)
+            gone = _spans(block, rows[1:], buckets)
             out: dict[str, list] = {f.name: [] for f in extra}
             for b, n in zip(block.begin.tolist(), block.size.tolist(), strict=True):
                 g, raw = gone[b : b + n], block.data[b : b + n]
@@ -487,8 +496,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 out["_n_spans"].append(int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()))
                 out["_kept_sha256"].append(hashlib.sha256(raw[~g].tobytes()).hexdigest())
                 out["_kept"].append(_text(raw.tobytes(), g))
-            arrays = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name not in ("_id", "_text")]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[f.name], f.type) for f in extra], names=[*columns, *out])
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(out[f.name], f.type) for f in extra], names=[*columns, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return last.mapInArrow(run, f"{fields}, _n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept_sha256 string, _kept string")
