@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op2_suffix_dedup as op2
 from . import op3_mixing as op3
+from . import op4_html as op4
 from . import op7_minhash as op7
 from . import op8_toxicity as op8
 from . import op10_decontaminate as op10
@@ -20,6 +21,10 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.digest(op3.mix(table(spark, sf_dir, "documents").select("doc_id", "source")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -35,6 +40,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
