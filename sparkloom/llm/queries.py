@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_warc as op1
 from . import op2_suffix_dedup as op2
 from . import op3_mixing as op3
 from . import op4_html as op4
@@ -13,6 +14,10 @@ from . import op10_decontaminate as op10
 from .common import table
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.digest(op2.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -38,6 +43,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_warc_index_merge": op1_warc_index_merge,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_html_extraction": op4_html_extraction,
@@ -46,4 +52,28 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_index_merge": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, page_id + {op1.EPOCH} AS ts FROM pages),
+        k AS (SELECT *, octet_length(encode(h)) AS n, sha256(h) AS d, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS r FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS m, regexp_replace(regexp_replace(lower(regexp_extract(r, '^[^/]*')), ':[0-9]+$', ''), '^www[.]', '') AS host,
+              regexp_extract(r, '^[^/]*/(.*)$', 1) AS path FROM k)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to,
+               CASE WHEN r = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' || path END AS urlkey, ts FROM f
+    """,
+    "op10_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p:p + 12], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0),
+        s AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i) AS l, unnest(range(1, len(w) - n + 2)) AS t(p)),
+        h AS (SELECT s.doc_id, s.p, s.n, i.item_id FROM s JOIN i ON s.n = i.n AND s.k = i.k),
+        c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h) AS x, unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) AS x GROUP BY doc_id),
+        r AS (SELECT doc_id, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS run FROM (SELECT DISTINCT doc_id, q FROM (SELECT DISTINCT doc_id, p, n FROM h) AS x, unnest(range(p, p + n)) AS t(q)) AS y),
+        m AS (SELECT doc_id, max(n) AS longest_match FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run) AS x GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+}
