@@ -10,6 +10,7 @@ from . import op3_mixing as op3
 from . import op4_html as op4
 from . import op7_minhash as op7
 from . import op8_toxicity as op8
+from . import op9_ann as op9
 from . import op10_decontaminate as op10
 from .common import table
 
@@ -38,6 +39,11 @@ def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return op9.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.digest(op10.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
+    "op9_balanced_posting_lists": op9_balanced_posting_lists,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
