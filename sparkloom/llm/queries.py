@@ -8,6 +8,8 @@ from . import op1_warc as op1
 from . import op2_suffix_dedup as op2
 from . import op3_mixing as op3
 from . import op4_html as op4
+from . import op5_language as op5
+from . import op6_quality as op6
 from . import op7_minhash as op7
 from . import op8_toxicity as op8
 from . import op9_ann as op9
@@ -31,6 +33,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op6_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -53,6 +63,8 @@ QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_html_extraction": op4_html_extraction,
+    "op5_language_fusion": op5_language_fusion,
+    "op6_quality_weak_labels": op6_quality_weak_labels,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op9_balanced_posting_lists": op9_balanced_posting_lists,
