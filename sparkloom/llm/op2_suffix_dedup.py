@@ -178,7 +178,7 @@ class Block:
         self.chunk = np.cumsum(cutting) - 1
         c = np.flatnonzero(cutting)
         self.chunk_doc = self.doc[c]
-        ends = np.append(c[1:], len(self.start))
+        ends = np.append(c[1:], len(self.start))[: len(c)]
         raw = self.data.tobytes()
         names = [xxhash.xxh3_128_digest(raw[s : e + LENGTH]) for s, e in zip(self.start[c].tolist(), self.start[ends - 1].tolist(), strict=True)]
         self.chunk_name = np.frombuffer(b"".join(names), ">u8").reshape(-1, 2)

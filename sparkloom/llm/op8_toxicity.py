@@ -165,8 +165,8 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
     rows = [(t, int(y)) for t, y in rows if y is not None]
     toxic = sum(y for _, y in rows)
     own = toxic / len(rows) if rows else 0.0
-    share = min(0.49, own if share is None else share)
-    flat = Model(np.zeros(_DIM), 0.0, 0.0, float(np.log(max(share, 1e-3) / (1 - max(share, 1e-3)))), share)
+    share = max(1e-3, min(0.49, own if share is None else share))
+    flat = Model(np.zeros(_DIM), 0.0, 0.0, float(np.log(share / (1 - share))), share)
     if not 0 < toxic < len(rows):
         return flat
     rng = np.random.default_rng(seed)

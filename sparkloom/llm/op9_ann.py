@@ -133,7 +133,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     spark = rows.sparkSession
     base = clean(rows, vec_id, embedding)
     size = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = size[0]["n"] if size else 0
+    if not size:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dim = size[0]["n"]
     base = base.where(F.size("v") == dim)
     # One row a distinct vector: its smallest ids, kept by a rank that discards the others before the shuffle.
     rank = Window.partitionBy("v").orderBy("vec_id")
@@ -143,7 +145,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     sample = np.array([r["v"] for r in first.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()], float).reshape(-1, dim)
     total = first.count()
     lists = int(min(MOST_LISTS, max(1, total // LIST), max(1, len(sample) // 4)))
-    index = Centroids(kmeans(sample, lists, np.random.default_rng(5)) if len(sample) else np.zeros((1, max(dim, 1))))
+    index = Centroids(kmeans(sample, lists, np.random.default_rng(5)))
     shared = spark.sparkContext.broadcast(index)
     posts = cut(_listed(first, shared, REPLICAS, BOUNDARY))
     ask = clean(queries, vec_id, embedding).where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))

@@ -1,0 +1,259 @@
+"""The corpus operators against brute force, round trips and held-out labels, with odd rows in every table."""
+
+import hashlib
+import os
+import random
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from sparkloom.llm import op1_warc, op2_suffix_dedup, op3_mixing, op4_html, op5_language, op6_quality, op7_minhash, op8_toxicity, op9_ann, op10_decontaminate
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}é" if rng.random() < 0.05 else f"w{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, shared passages, short, empty, null and very long texts."""
+    rng = random.Random(3)
+    base = [prose(rng, rng.randrange(1, 120)) for _ in range(40)]
+    passage = prose(rng, 30)
+    out = list(base)
+    out += [base[3]] * 4 + [base[5].upper(), base[5]]
+    for b in base[:12]:
+        w = b.split()
+        if len(w) > 10:
+            w[rng.randrange(len(w))] = "changed"
+        out.append(" ".join(w))
+    out += [prose(rng, 20) + " " + passage + " " + prose(rng, 20) for _ in range(6)]
+    out += [None, "", " \n ", "one", "one", "a b c", prose(rng, 30000), "x" * 49, "x" * 50, "x" * 120, "x" * 50]
+    rng.shuffle(out)
+    return [(i * 3 % 101 + 101 * (i * 3 // 101), t) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s" if i % 2 else None, 0) for i, t in rows], DOC).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def test_near_duplicates(docs, rows, nothing):
+    for k in (4, 5):
+        got = sorted(tuple(r) for r in op7_minhash.near_duplicates(docs, k=k).collect())
+        assert got == sorted(op7_minhash.brute(rows, k))
+    assert op7_minhash.near_duplicates(nothing).count() == 0
+    assert op7_minhash.keep_one(docs).columns == docs.columns
+
+
+def test_near_duplicates_of_a_hot_group(spark):
+    """Many texts near one base, of which few pairs are linked directly."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    made = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(120), 2):
+            w[j] = f"n{i}x{j}"
+        made.append((i, " ".join(w)))
+    got = op7_minhash.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string"), k=5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(op7_minhash.brute(made, 5))
+
+
+def test_null_id_links_with_nothing(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in op7_minhash.near_duplicates(df).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, 50), (50, 75), (7, 7)]
+    got = {r["node"]: r["component"] for r in op7_minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), 50: 50, 75: 50, 100: 50}
+
+
+def test_repeats(docs, rows, nothing):
+    got = sorted(tuple(r) for r in op2_suffix_dedup.digest(op2_suffix_dedup.remove_repeats(docs)).collect())
+    assert got == sorted(op2_suffix_dedup.brute(rows))
+    assert op2_suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_repeats_keep_characters_and_columns(spark):
+    shared = "é" * 40
+    df = spark.createDataFrame([(1, "ab" + shared, 5), (2, "cd" + shared + "ef", 6), (None, shared, 7)], "doc_id bigint, text string, _id int")
+    out = {r["doc_id"]: r for r in op2_suffix_dedup.remove_repeats(df).collect()}
+    assert out[2]["_kept"] == "cdef" and out[2]["_id"] == 6 and out[None]["_n_removed"] == 0 and out[1]["_n_removed"] == 0
+
+
+def test_suffix_sort():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[1000:1200] = data[:200]
+    start = rng.permutation(3900)
+    got = op2_suffix_dedup.suffix_sort(op2_suffix_dedup.PrefixHash(data), start, 50)
+    raw = data.tobytes()
+    assert got.tolist() == sorted(start.tolist(), key=lambda i: (raw[i : i + 50], i))
+
+
+def test_window_minima_survives_equal_hashes(monkeypatch):
+    monkeypatch.setattr(op2_suffix_dedup.PrefixHash, "at", lambda self, s, k: np.zeros(len(s), np.uint64))
+    data = np.frombuffer(b"a" * 60 + b"b" * 60, np.uint8)
+    assert op2_suffix_dedup.window_minima(data, np.array([0, 60]), np.array([1, 2])).tolist() == [1, 2]
+
+
+def test_decontamination(spark, docs, rows, nothing):
+    long = [t for _, t in rows if t and 60 < len(t.split()) < 200]
+    items = [(1, " ".join(long[0].split()[5:30])), (2, long[1]), (3, "w1 w2"), (4, None), (5, ""), (10, long[0]), (6, "one")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(op10_decontaminate.brute(rows, items), key=str)
+    for words in (10_000, 40):  # in one block and in several
+        got = op10_decontaminate.digest(op10_decontaminate.matches(docs, bench, block_words=words)).drop("longest_match")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    kept = op10_decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
+    assert op10_decontaminate.matches(nothing, bench).count() == 0
+    assert op10_decontaminate.matches(docs, bench.limit(0)).where("_m_n_hit > 0").count() == 0
+
+
+def test_schedule_stays_within_a_block():
+    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    units = op3_mixing.apportion(weights)
+    slots = op3_mixing.period(units)
+    assert sum(units.values()) == op3_mixing.UNITS and sorted(x for s in slots.values() for x in s) == list(range(op3_mixing.UNITS))
+    for s, at in slots.items():
+        done = np.searchsorted(at, np.arange(1, op3_mixing.UNITS + 1))
+        assert np.abs(done - units[s] / op3_mixing.UNITS * np.arange(1, op3_mixing.UNITS + 1)).max() < 1
+
+
+def test_mixing(spark, docs, nothing):
+    many = spark.createDataFrame([(i, "a" if i % 3 else "b" if i % 2 else None) for i in range(3000)], "doc_id bigint, source string")
+    out = op3_mixing.mix(many, {"a": 0.7, "b": 0.2, "": 0.1}).toPandas()
+    assert len(out) == 3000 == out.doc_id.nunique() and out.groupby("_slot")._source.nunique().max() == 1 and out._slot.max() + 1 == out._slot.nunique()
+    assert len(out.groupby(["_slot", "_place"])) == 3000 and out._place.max() < op3_mixing.BLOCK
+    assert op3_mixing.mix(nothing).count() == 0
+
+
+PAGES = [
+    (1, "https://a.org/x/1", "<nav>menu</nav><article><h1>T &amp; u</h1><p>one  two<br>three</article><footer>f</footer>"),
+    (2, "https://a.org/x/2", "<div>shared line</div><div>own text of two</div><div class='sidebar'>s</div>"),
+    (3, "https://a.org/x/3", "<div>shared line</div><div>own text of three</div><script>var x='</div>'</script>"),
+    (4, None, "<p>no address</p>"), (5, "https://b.org/", None), (6, "", ""), (7, "https://a.org/x/2", "<div>shared line</div><div>own text of two</div>"),
+]
+
+
+def test_html(spark):
+    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op4_html.extract(df).collect()}
+    assert got[1] == "T & u\n\none two\n\nthree" and got[4] == "no address" and got[5] == got[6] == ""
+    assert got[3] == "own text of three"
+    assert op4_html.extract(df.limit(0)).count() == 0
+
+
+def test_shared_is_a_longest_common_subsequence():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        got = op4_html.shared(a, b)
+        picked, it = [x for x, g in zip(a, got, strict=True) if g], iter(b)
+        assert len(picked) == t[-1][-1] and all(x in it for x in picked)
+
+
+def test_warc_round_trip(spark):
+    big = "é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 9
+    rows = [(3, "https://WWW.a.org:80/p?q#f", big), (1, "http://a.org/p", big), (2, None, "tiny"), (4, "http://a.org/p", "tiny"), (5, "http://b.org", None), (6, "x\ny", big + "\r"), (None, "http://c.org", big)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in op1_warc.captures(df).collect()}
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["refers_to"]} == {3: ("revisit", 1), None: ("revisit", 1)}
+    assert got[3]["urlkey"] == "org,a)/p?q" and got[2]["urlkey"] == ""
+    ordered = op1_warc.captures(df).orderBy("range", "position").collect()
+    assert [op1_warc.key_of(r.asDict()) for r in ordered] == sorted(op1_warc.key_of(r.asDict()) for r in ordered)
+    assert op1_warc.captures(df.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    rng = random.Random(4)
+    for k in (0, 1, 2, 3, 5, 8, 13):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(6))) for _ in range(k)]
+        assert list(op1_warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + [(1500 + i, [float(x) for x in v[0]]) for i in range(40)]
+    rows += [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [None] * 8), (2100, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(r) for r in op9_ann.search(df, df.where("vec_id % 100 = 0")).collect())
+    want = op9_ann.brute([r for r in rows if r[0] < 2000])
+    hit = {x[::2] for x in got} & {x[::2] for x in want}
+    assert len(got) == len(want) and len(hit) / len(want) >= 0.9
+    few = spark.createDataFrame(rows[:3], df.schema)
+    assert sorted(tuple(r) for r in op9_ann.search(few, few.where("vec_id = 0")).collect()) == op9_ann.brute(rows[:3])
+    assert op9_ann.search(df.limit(0), df).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_of_held_out_rows(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in read("labels").collect()}
+    out = op8_toxicity.digest(read("documents"), read("labels")).collect()
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in out if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    right = sum(a == b for a, b in held) / len(held)
+    assert right > 0.95 and all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    out = op8_toxicity.digest(docs, labels).collect()
+    assert len(out) == docs.count() and len({round(r["score"], 9) for r in out}) == 1
+    assert op8_toxicity.all_words("you i d i o t !") >= {"idiot"}
+
+
+def test_gapped_insults_resemble_the_insult():
+    rows = [(f"calm text number {i} about trees rivers and stones", 0) for i in range(60)] + [(f"calm text number {i} you moronic idiot", 1) for i in range(60)]
+    m = op8_toxicity.train(rows, 0.1)
+    near, far = m.margins(["id.iot", "idi-ot", "idiotic"]), m.margins(["stones", "rivers"])
+    assert near.min() > far.max()
+
+
+def test_quality(spark, docs, nothing):
+    out = op6_quality.score(docs).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and 0 <= r["weak"] <= 1 for r in out)
+    assert op6_quality.score(nothing).count() == 0
+
+
+def test_labeller_accuracies_are_recovered():
+    rng = np.random.default_rng(3)
+    truth, right = rng.random(20000) < 0.7, np.array([0.95, 0.8, 0.7, 0.6])
+    v = np.where(rng.random((20000, 4)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    v[rng.random((20000, 4)) < 0.2] = 2
+    names, counts = np.unique(["".join(map(str, r)) for r in v], return_counts=True)
+    good, found = op6_quality.expectation_maximisation(names.tolist(), counts.astype(float))
+    assert np.abs(found - right).max() < 0.04 and good[names.tolist().index("1111")] > 0.95 > 0.2 > good[names.tolist().index("0000")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_language(spark):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    out = op5_language.identify(read("pages"), read("documents")).collect()
+    assert sum(f"/{r['lang']}/" in r["url"] for r in out) / len(out) > 0.95
+    odd = spark.createDataFrame([(1, None, None), (2, "http://x.de/", ""), (2, "http://x.de/", "")], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["lang"]) for r in op5_language.identify(odd, read("documents")).collect())
+    assert got[1:] == [(2, "de"), (2, "de")]
+    assert op5_language.identify(odd.limit(0), read("documents").limit(0)).count() == 0
