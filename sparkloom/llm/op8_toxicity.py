@@ -180,13 +180,14 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
         df[y].update({g for w in words for g in _grams(w)})
     n = (sum(1 - y for _, y in bags), sum(y for _, y in bags))
     proof = {g: _evidence(df[1][g], df[0][g], n[1], n[0]) for g in df[1]}
+    sure = float(np.log(max(1, len(proof)))) + 3.0  # evidence that chance hardly gives any of so many parts
     bad = [w for w, y in bags if y and w]
     clean = sorted({w for words, y in bags if not y for w in words})
     if not bad or not clean:
         return flat
     rng.shuffle(clean)
     told = {w: max((proof.get(g, 0.0) for g in _grams(w)), default=0.0) for words in bad for w in words}
-    witness = [w for words in bad for top in [max(told[w] for w in words)] for w in words if told[w] >= 6 and told[w] >= 0.2 * top]
+    witness = [w for words in bad for top in [max(told[w] for w in words)] for w in words if told[w] >= max(sure, 0.2 * top)]
     witness = witness or [max(w, key=lambda x: (told[x], x)) for w in bad]
     hard: list[str] = []
     for turn in range(3):
@@ -204,17 +205,33 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
         hard = list(dict.fromkeys([*hard, *(clean[i] for i in np.argsort(-margin, kind="stable")[:1500] if margin[i] > -0.8)]))
         named = set(clean)
         found = [(words, model.margins(words)) for words in bad]
-        witness = [w for words, m in found for i, w in enumerate(words) if (m[i] == m.max() > 0 or told[w] >= 6) and w not in named] or witness
+        witness = [w for words, m in found for i, w in enumerate(words) if (m[i] == m.max() > 0 or told[w] >= sure) and w not in named] or witness
     worst = np.array([model.margins(w).max() if w else -1.0 for w, _ in aside])
     label = np.array([y for _, y in aside], float)
     weight = np.where(label > 0, share / own, (1 - share) / (1 - own))
     x, line = np.c_[worst, np.ones(len(worst))], np.array([1.0, 0.0])
-    for _ in range(60):  # Platt's line, by Newton's method with a little shrinkage
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum() + 0.005 * (at @ at))
+
+    for _ in range(60):  # Platt's line, by Newton's method with a little shrinkage; steps are halved until they help
         p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
         grad = x.T @ (weight * (p - label)) + 0.01 * line
-        line = line - np.linalg.solve(x.T @ ((weight * p * (1 - p))[:, None] * x) + 0.01 * np.eye(2), grad) * 0.7
-    slope, shift = float(max(line[0], 0.0)), float(line[1])
-    model.slope, model.shift = slope, shift
+        step = np.linalg.solve(x.T @ ((weight * p * (1 - p))[:, None] * x) + 0.01 * np.eye(2), grad)
+        while loss(line - step) > loss(line) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        line = line - step
+    slope = float(line[0])
+    # The line's zero goes where it tells the rows kept aside apart best, in the middle of the widest such gap.
+    order = np.argsort(worst, kind="stable")
+    m, gain = worst[order], np.cumsum((weight * (1 - 2 * label))[order])  # of predicting clean up to here
+    gap = np.append(m[1:] > m[:-1], True)
+    top = np.flatnonzero(gap & (gain >= gain[gap].max() - 1e-9))
+    upper = np.append(m[1:], m[-1] + 1.0)
+    cut_ = top[np.argmax(upper[top] - m[top])]
+    slope = max(slope, 1.0)
+    model.slope, model.shift = slope, -slope * float((m[cut_] + upper[cut_]) / 2)
     return model
 
 
