@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, present
+from .text import col, let, present
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _NAMES = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -13,7 +13,10 @@ _NAMES = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y
 
 def parse(c: Column | str) -> Column:
     """ISO, day-month-year or English month; a day past the month's end rolls over, as a year under 50 is of this century."""
-    s = F.trim(col(c))
+    return let(F.trim(col(c)), _parse)
+
+
+def _parse(s: Column) -> Column:
     whole = lambda pattern, i: F.regexp_extract(s, pattern, i).try_cast("int")
     iso, dmy, eng = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$", rf"(?i)^({_NAMES})\s+(\d{{1,2}}),?\s+(\d{{4}})$"
     short = whole(dmy, 3)
