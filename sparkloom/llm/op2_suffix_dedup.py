@@ -79,12 +79,16 @@ class PrefixHash:
 
     def extension(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common prefix, up to `most`, of the suffixes at a and b: binary search over the hashes."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
+        out = np.full(len(a), most, np.int64)
+        rest = np.flatnonzero(self.at(a, most) != self.at(b, most))  # equal to the end is the commonest case
+        x, y = a[rest], b[rest]
+        lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), most - 1, np.int64)
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = self.at(a, mid) == self.at(b, mid)
+            same = self.at(x, mid) == self.at(y, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        out[rest] = lo
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Whether the suffix at a sorts before that at b; equal over `most` bytes: the smaller position does."""
@@ -101,7 +105,7 @@ def suffix_sort(text: PrefixHash, start: np.ndarray, most: int) -> np.ndarray:
     bottom-up mergesort places every suffix of a run by binary search in its
     partner run, all runs at once, comparing by common extension.
     """
-    word = lambda at: np.ascontiguousarray(text.data[at[:, None] + np.arange(8)]).view(">u8")[:, 0]
+    word = lambda at: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text.data, 8)[at]).view(">u8")[:, 0]
     one, two = word(start), word(start + 8)
     order = np.lexsort((start, two, one))
     sa, one, two = start[order], one[order], two[order]
@@ -146,7 +150,7 @@ def window_minima(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.
     sa = suffix_sort(text, start[some], LENGTH)
     by_start = np.argsort(start[some], kind="stable")
     at = some[by_start][np.searchsorted(start[some][by_start], sa)]
-    bytes_ = data[sa[:, None] + np.arange(LENGTH)]
+    bytes_ = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[sa]
     joined = text.extension(sa[1:], sa[:-1], LENGTH) >= LENGTH
     joined &= (bytes_[1:] == bytes_[:-1]).all(1)  # collision verification
     run = np.cumsum(np.concatenate([[True], ~joined])) - 1
