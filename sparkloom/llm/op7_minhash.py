@@ -183,6 +183,29 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
 
 
+class _Sets:
+    """Full sets of one unit; compares one with many by marking its elements and counting marks."""
+
+    def __init__(self, full: list[np.ndarray], percent: int):
+        self.full, self.percent, self.size = full, percent, np.array([len(f) for f in full], np.int64)
+        self.flat: np.ndarray | None = None
+
+    def linked(self, x: int, y: np.ndarray) -> np.ndarray:
+        if len(y) < 8:
+            return np.array([_linked(self.full[x], self.full[z], self.percent) for z in y], bool)
+        if self.flat is None:
+            names, flat = np.unique(np.concatenate(self.full), return_inverse=True)
+            self.flat, self.mark = flat.astype(np.int32), np.zeros(len(names), bool)
+            self.start = np.cumsum(self.size) - self.size
+        own = self.flat[self.start[x] : self.start[x] + self.size[x]]
+        self.mark[own] = True
+        n = self.size[y]
+        at = np.repeat(self.start[y] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), np.cumsum(n) - n)
+        self.mark[own] = False
+        return 100 * both >= self.percent * (self.size[x] + n - both)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity."""
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
@@ -215,13 +238,15 @@ def _forest(members: DataFrame, key: str, percent: int, exact: bool) -> DataFram
         for (_, i, j), rows in groups(batches, ["h", "i", "j"]):
             sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
             own, rep, comp, n = (np.array([r[c] for r in rows]) for c in ("own", "rep", "comp", "n"))
-            full = [np.frombuffer(r["full"], np.uint64) for r in rows] if exact else []
+            sets = _Sets([np.frombuffer(r["full"], np.uint64) for r in rows], percent) if exact else None
             a, b = [], []
             for x in np.flatnonzero(own == i):
                 y = np.flatnonzero((comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & ((own == j) if i != j else (np.arange(len(rows)) > x)))
                 y = y[_estimate(sig[y], sig[x]) >= least] if len(y) else y
+                if exact and len(y):
+                    y = y[sets.linked(x, y)]
                 for z in y.tolist():
-                    if comp[z] != comp[x] and (not exact or _linked(full[x], full[z], percent)):
+                    if comp[z] != comp[x]:
                         a.append(min(rep[x], rep[z]))
                         b.append(max(rep[x], rep[z]))
                         comp[comp == max(comp[x], comp[z])] = min(comp[x], comp[z])
