@@ -3,10 +3,11 @@
 Pages of one host are put in the order of their URL paths; a page's partner is
 the page before it in that order (the first takes the one after it). The blocks
 of text of both are aligned by longest common subsequence, and what both share
-is page furniture and goes. A block inside article or main isn't deleted for
-being shared: two addresses of one article would erase it. Elements that hold no
-main text wherever they stand (menus, headers, footers, sidebars, forms, scripts,
-styles, adverts, notices, reader comments) are left out before.
+is page furniture and goes, inside article and main too; what isn't shared stays,
+outside them too. A partner with the same article or main (the same blocks, where
+there is none) is another address of the page and deletes nothing. Elements that
+hold no main text wherever they stand (menus, headers, footers, sidebars, forms,
+scripts, styles, adverts, notices, reader comments) are left out before.
 
 A page without partner keeps all that is left. Siblings (host, directory, and the
 leading part of the number in the name) are one key, so that the shuffle spreads
@@ -125,10 +126,16 @@ def shared(mine: list[str], other: list[str]) -> list[bool]:
     return out
 
 
+def core(page: list[tuple[str, bool]]) -> list[str]:
+    """What tells two articles apart: the blocks in article or main, where there are none all blocks."""
+    return [t for t, h in page if h] or [t for t, _ in page]
+
+
 def main_text(mine: list[tuple[str, bool]], partner: list[tuple[str, bool]] | None) -> str:
-    own = any(h for _, h in mine)
-    gone = shared([t for t, _ in mine], [t for t, _ in partner]) if partner else [False] * len(mine)
-    return "\n\n".join(t for (t, h), g in zip(mine, gone, strict=True) if (h if own else not g))
+    """The lines that the partner doesn't share; all of them without a partner, or where it is a copy."""
+    lines = [t for t, _ in mine]
+    gone = shared(lines, [t for t, _ in partner]) if partner and core(partner) != core(mine) else [False] * len(lines)
+    return "\n\n".join(t for t, g in zip(lines, gone, strict=True) if not g)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

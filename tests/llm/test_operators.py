@@ -157,6 +157,14 @@ def test_html(spark):
     assert op4_html.extract(df.limit(0)).count() == 0
 
 
+def test_html_differences_pages_with_an_article(spark):
+    page = "<div>top line</div><main><h1>Title {0}</h1><p>Read more of this</p></main><div>body {0} outside</div>"
+    df = spark.createDataFrame([(i, f"https://a.org/x/{i}", page.format(i)) for i in (1, 2)] + [(3, "https://c.org/x/1", page.format(3)), (4, "https://c.org/x/2", page.format(3))], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op4_html.extract(df).collect()}
+    assert got[1] == "Title 1\n\nbody 1 outside" and got[2] == "Title 2\n\nbody 2 outside"
+    assert got[3] == got[4] == "top line\n\nTitle 3\n\nRead more of this\n\nbody 3 outside"
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
