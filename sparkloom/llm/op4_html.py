@@ -9,17 +9,18 @@ there is none) is another address of the page and deletes nothing. Elements that
 hold no main text wherever they stand (menus, headers, footers, sidebars, forms,
 scripts, styles, adverts, notices, reader comments) are left out before.
 
-A page without partner keeps all that is left. Siblings (host, directory, and the
-leading part of the number in the name) are one key, so that the shuffle spreads
-a large host over many tasks; within a key the pages stream in order and only
-one partner is held. Null html gives an empty text; a null URL has no host and
-no partner. Repeated rows of a page are each other's partners.
+A page without partner keeps all that is left. Pages are cut into ranges of (host,
+path, id), so that a large host spreads over many tasks; each range also gets the
+page before and the page after it that its own pages need, as a partner only. The
+pages of a range stream in order and only one partner is held. Null html gives an
+empty text; a null URL has no host and no partner.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import cut, parts, row_slices
 
 #: Elements without main text, elements that start a new block, elements without content.
 NOISE = frozenset("head title script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu".split())
@@ -39,7 +40,9 @@ _MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo|cooki
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
-SIBLINGS = 64
+#: Ranges for each shuffle partition, and keys sampled for each range to set the bounds.
+RANGES, PER_RANGE = 4, 20
+_KEY = ["_host", "_path", "page_id", "_hash"]
 
 
 def blocks(page: str | None) -> list[tuple[str, bool]]:
@@ -138,32 +141,62 @@ def main_text(mine: list[tuple[str, bool]], partner: list[tuple[str, bool]] | No
     return "\n\n".join(t for t, g in zip(lines, gone, strict=True) if not g)
 
 
+def _ranges(keys: DataFrame, n: int) -> list[tuple]:
+    """Bounds that cut the order of keys into about n ranges of like size, from a sample by hash."""
+    spread = F.xxhash64(F.lit(4), *_KEY)
+    found = sorted(_sortable(tuple(r)) for r in keys.orderBy(spread, *_KEY).limit(n * PER_RANGE).collect())
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def _sortable(key: tuple) -> tuple:
+    return tuple((x is not None, x) if x is not None else (False,) for x in key)
+
+
+def _edges(keys: DataFrame) -> list[tuple[int, tuple]]:
+    """(range, key) of the pages that a range needs from outside: the page before its first and after its last, of one host."""
+    key = F.struct(*_KEY)
+    ends = sorted((r["_part"], tuple(r["a"]), tuple(r["z"])) for r in keys.where("_host <> ''").groupBy("_part").agg(F.min(key).alias("a"), F.max(key).alias("z")).collect())
+    out = []
+    for (p, _, z), (q, a, _) in zip(ends, ends[1:], strict=False):
+        if z[0] == a[0]:
+            out += [(q, z), (p, a)]
+    return out
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    spark = pages.sparkSession
     rest = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(rest, r"^[^/]*", 0)), F.regexp_extract(rest, r"^[^/]*(.*)$", 1)
-    number = F.try_to_number(F.regexp_extract(path, r"(\d{1,15})[^/\d]*/?$", 1), F.lit("999999999999999"))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("_host"), path.alias("_path"), F.regexp_extract(path, r"^(.*/)[^/]+/?$", 1).alias("_dir"), F.coalesce(F.floor(number / SIBLINGS), F.lit(-1)).cast("bigint").alias("_block"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("_host"), path.alias("_path"), F.xxhash64(url, html).alias("_hash"))
+    keys = cut(rows.select(*_KEY))
+    bounds = spark.sparkContext.broadcast(_ranges(keys, RANGES * parts(spark)))
+
+    @F.arrow_udf("int")
+    def part(*key: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds.value, _sortable(k)) for k in zip(*(c.to_pylist() for c in key), strict=True)], pa.int32())
+
+    edges = _edges(keys.withColumn("_part", part(*_KEY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple | None = None  # the first page of a key waits for the next
+        waiting: tuple | None = None  # the first page of a host in a range waits for the next
         before: tuple | None = None
         for batch in batches:
             for piece in row_slices(batch, "html", 4 << 20):
                 out: list[tuple] = []
-                for page, link, page_html, host, directory, block in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html", "_host", "_dir", "_block")), strict=True):
-                    key, mine = (host, directory, block), blocks(page_html)
+                for page, link, page_html, host, part, own in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html", "_host", "_part", "_own")), strict=True):
+                    key, mine = (part, host), blocks(page_html)
                     if waiting and waiting[0] != key:
                         out.append((*waiting[1:3], main_text(waiting[3], None)))
                         waiting = None
                     if waiting:
                         out.append((*waiting[1:3], main_text(waiting[3], mine)))
                         waiting = None
-                    if not host:
+                    if own and not host:
                         out.append((page, link, main_text(mine, None)))
-                    elif before and before[0] == key:
+                    elif own and before and before[0] == key:
                         out.append((page, link, main_text(mine, before[1])))
-                    else:
+                    elif own:
                         waiting = (key, page, link, mine)
                     before = (key, mine)
                 yield _out(out, piece.schema)
@@ -175,5 +208,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pa.RecordBatch.from_arrays([pa.array(a, schema.field("page_id").type), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(map(len, c), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    ordered = rows.repartition("_host", "_dir", "_block").sortWithinPartitions("_host", "_dir", "_block", "_path", "page_id")
+    guests = spark.createDataFrame([(p, *k) for p, k in edges], f"_part int, _h string, _p string, _i {kind}, _x bigint")
+    same = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")) & F.col("page_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_x"))
+    lent = rows.join(F.broadcast(guests), same).select(*rows.columns, "_part", F.lit(False).alias("_own"))  # at most two a range
+    dealt = rows.withColumn("_part", part(*_KEY)).withColumn("_own", F.lit(True)).unionByName(lent)
+    ordered = dealt.repartition("_part").sortWithinPartitions("_part", *_KEY)
     return ordered.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -165,6 +165,14 @@ def test_html_differences_pages_with_an_article(spark):
     assert got[3] == got[4] == "top line\n\nTitle 3\n\nRead more of this\n\nbody 3 outside"
 
 
+def test_html_partners_within_the_whole_host(spark):
+    paths = [f"2024/{m:02}/slug{m * 7919}/" for m in range(1, 13)] + [f"article/{84213 * i}" for i in range(1, 13)]
+    rows = [(i, f"https://{h}.org/{p}", f"<div>top line</div><p>own text {i}</p>") for i, (h, p) in enumerate((h, p) for h in "ab" for p in paths)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in op4_html.extract(df).collect()}
+    assert got == {i: f"own text {i}" for i, _, _ in rows}
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
