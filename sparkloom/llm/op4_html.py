@@ -1,7 +1,9 @@
 """Main text of web pages by differencing each page with its nearest neighbour.
 
 Pages of one host are put in the order of their URL paths; a page's partner is
-the page before it in that order (the first takes the one after it). The blocks
+the nearest page before it in that order that holds another article (the first ones
+take the nearest after them); copies of the page and pages without text are passed
+over. The blocks
 of text of both are aligned by longest common subsequence, and what both share
 is page furniture and goes, inside article and main too; what isn't shared stays,
 outside them too. A partner with the same article or main (the same blocks, where
@@ -11,7 +13,8 @@ scripts, styles, adverts, notices, reader comments) are left out before.
 
 A page without partner keeps all that is left. Pages are cut into ranges of (host,
 path, id), so that a large host spreads over many tasks; each range also gets the
-page before and the page after it that its own pages need, as a partner only. The
+page before and the page after it that its own pages need, as a partner only (pages
+are known by digests of their article, so copies may fill whole ranges). The
 pages of a range stream in order and only one partner is held. Null html gives an
 empty text; a null URL has no host and no partner.
 """
@@ -22,6 +25,7 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Ranges for each shuffle partition, and keys sampled for each range to set the bounds.
-RANGES, PER_RANGE = 4, 20
+RANGES, PER_RANGE = 4, 8
 _KEY = ["_host", "_path", "page_id", "_hash"]
 
 
@@ -143,8 +147,8 @@ def main_text(mine: list[tuple[str, bool]], partner: list[tuple[str, bool]] | No
 
 def _ranges(keys: DataFrame, n: int) -> list[tuple]:
     """Bounds that cut the order of keys into about n ranges of like size, from a sample by hash."""
-    spread = F.xxhash64(F.lit(4), *_KEY)
-    found = sorted(_sortable(tuple(r)) for r in keys.orderBy(spread, *_KEY).limit(n * PER_RANGE).collect())
+    every = max(1, keys.count() // (n * PER_RANGE))
+    found = sorted(_sortable(tuple(r)) for r in keys.select(*_KEY).where(F.pmod(F.xxhash64(F.lit(4), *_KEY), F.lit(every)) == 0).collect())
     return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
@@ -152,15 +156,38 @@ def _sortable(key: tuple) -> tuple:
     return tuple((x is not None, x) if x is not None else (False,) for x in key)
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """The key of each page with a digest of its article; null where the page holds no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            cores = (core(blocks(h.as_py())) for h in t.column("html"))
+            found = pa.array([blake2b("\0".join(c).encode("utf-8", "surrogatepass"), digest_size=16).digest() if c else None for c in cores], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _KEY), found], names=[*_KEY, "_core"])
+
+    return rows.select(*_KEY, "html").mapInArrow(run, f"_host string, _path string, page_id {rows.schema['page_id'].dataType.simpleString()}, _hash bigint, _core binary")
+
+
 def _edges(keys: DataFrame) -> list[tuple[int, tuple]]:
-    """(range, key) of the pages that a range needs from outside: the page before its first and after its last, of one host."""
-    key = F.struct(*_KEY)
-    ends = sorted((r["_part"], tuple(r["a"]), tuple(r["z"])) for r in keys.where("_host <> ''").groupBy("_part").agg(F.min(key).alias("a"), F.max(key).alias("z")).collect())
-    out = []
-    for (p, _, z), (q, a, _) in zip(ends, ends[1:], strict=False):
-        if z[0] == a[0]:
-            out += [(q, z), (p, a)]
-    return out
+    """(range, key) of the pages that a range needs from outside: for its first article the nearest other one before it, for its last the nearest after it, of one host."""
+    page = F.struct(*_KEY, "_core")
+    held = keys.where("_host <> '' and _core is not null")
+    ends = cut(held.groupBy("_part").agg(F.min(page).alias("a"), F.max(page).alias("z")))
+    other = lambda end: F.when((F.col("_host") == F.col(f"{end}._host")) & (F.col("_core") != F.col(f"{end}._core")), page)
+    found = held.join(F.broadcast(ends), "_part").groupBy("_part", "a", "z").agg(F.min(other("a")).alias("a2"), F.max(other("z")).alias("z2")).collect()
+    found = sorted(((r["_part"], *(r[c] and tuple(r[c]) for c in ("a", "a2", "z", "z2"))) for r in found), key=lambda r: r[0])
+    return [*_nearest((p, a, z, z2) for p, a, _, z, z2 in found), *_nearest((p, z, a, a2) for p, a, a2, z, _ in reversed(found))]
+
+
+def _nearest(ranges: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
+    """For each range's head the nearest page of its host and another article in the ranges before."""
+    last = last2 = None  # the page nearest to the next range, and the nearest one with another article
+    for part, head, tail, tail2 in ranges:
+        if last and last[0] == head[0] and (partner := last if last[-1] != head[-1] else last2):
+            yield part, partner[:-1]
+        if last and last[0] == tail[0] and not tail2:
+            tail2 = last if last[-1] != tail[-1] else last2
+        last, last2 = tail, tail2
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -169,7 +196,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rest = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(rest, r"^[^/]*", 0)), F.regexp_extract(rest, r"^[^/]*(.*)$", 1)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("_host"), path.alias("_path"), F.xxhash64(url, html).alias("_hash"))
-    keys = cut(rows.select(*_KEY))
+    keys = cut(_digests(rows))
     bounds = spark.sparkContext.broadcast(_ranges(keys, RANGES * parts(spark)))
 
     @F.arrow_udf("int")
@@ -179,29 +206,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     edges = _edges(keys.withColumn("_part", part(*_KEY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple | None = None  # the first page of a host in a range waits for the next
-        before: tuple | None = None
+        waiting: list[tuple] = []  # copies of the first article of a host in a range wait for the next
+        key = now = before = None
         for batch in batches:
             for piece in row_slices(batch, "html", 4 << 20):
                 out: list[tuple] = []
                 for page, link, page_html, host, part, own in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html", "_host", "_part", "_own")), strict=True):
-                    key, mine = (part, host), blocks(page_html)
-                    if waiting and waiting[0] != key:
-                        out.append((*waiting[1:3], main_text(waiting[3], None)))
-                        waiting = None
-                    if waiting:
-                        out.append((*waiting[1:3], main_text(waiting[3], mine)))
-                        waiting = None
-                    if own and not host:
-                        out.append((page, link, main_text(mine, None)))
-                    elif own and before and before[0] == key:
-                        out.append((page, link, main_text(mine, before[1])))
+                    if key != (part, host):
+                        out += ((*w[:2], main_text(w[2], None)) for w in waiting)
+                        waiting, key, now, before = [], (part, host), None, None
+                    mine = blocks(page_html)
+                    if not host or not mine:
+                        if own:
+                            out.append((page, link, main_text(mine, None)))
+                        continue
+                    if now and core(now) != core(mine):
+                        before = now
+                        out += ((*w[:2], main_text(w[2], mine)) for w in waiting)
+                        waiting = []
+                    now = now if now == mine else mine  # equal copies are held once
+                    if own and before:
+                        out.append((page, link, main_text(mine, before)))
                     elif own:
-                        waiting = (key, page, link, mine)
-                    before = (key, mine)
+                        waiting.append((page, link, now))
                 yield _out(out, piece.schema)
         if waiting:
-            yield _out([(*waiting[1:3], main_text(waiting[3], None))], batch.schema)
+            yield _out([(*w[:2], main_text(w[2], None)) for w in waiting], batch.schema)
 
     def _out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         a, b, c = zip(*rows, strict=True) if rows else ((), (), ())

@@ -173,6 +173,19 @@ def test_html_partners_within_the_whole_host(spark):
     assert got == {i: f"own text {i}" for i, _, _ in rows}
 
 
+def test_html_copies_do_not_erase_each_other(spark):
+    got = {r["page_id"]: r["text"] for r in op4_html.extract(spark.createDataFrame(PAGES, "page_id bigint, url string, html string")).collect()}
+    assert got[2] == got[7] == "shared line\n\nown text of two"  # the nearest other page, 1, shares nothing
+    rng, body = random.Random(6), "<div>top line</div><p>{0}</p>"
+    for copies in (3, 300):  # many copies fill whole ranges; they lead their host, stand inside it or end it
+        for texts in (["one"] * copies + ["two"], ["one", *["two"] * copies, "three"], ["one"] + ["two"] * copies):
+            rows = [(i, f"https://a.org/x?i={i}", body.format(t)) for i, t in enumerate(texts)]
+            df = spark.createDataFrame(rng.sample(rows, len(rows)), "page_id bigint, url string, html string")
+            assert [r["text"] for r in op4_html.extract(df).orderBy("page_id").collect()] == texts
+    alone = spark.createDataFrame([(i, "https://a.org/x", body.format("one")) for i in range(4)], "page_id bigint, url string, html string")
+    assert {r["text"] for r in op4_html.extract(alone).collect()} == {"top line\n\none"}
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
