@@ -5,8 +5,11 @@
 2. Centroids are fitted on a bounded sample by k-means that splits large clusters,
    and every vector is indexed: in the list of its nearest centroid and, near a
    boundary, in up to REPLICAS lists whose centroids are nearly as near.
-3. Centroids are searched through an in-memory neighbour graph, best first.
-4. A query goes to the lists whose centroid is within a ratio of its nearest one.
+3. Centroids are searched through an in-memory neighbour graph, best first; where a
+   large share of them is asked for, all are ranked.
+4. A query goes to the lists of the nearest centroids: PROBE of them or a share of
+   all, whichever is more, and on until they hold k + 1 vectors. A list is left out
+   only if its radius shows that k + 1 vectors nearer than any of its are at hand.
    A list is cut into slices of a fixed size that queries visit one by one, so a
    long list spreads over tasks; each slice returns its nearest, a query's lists
    are merged at the end.
@@ -14,14 +17,14 @@
 Distances are Euclidean in double precision on the original vectors; ties go to
 the smaller id. Vectors that are null, zero or hold a null or non-finite component,
 null ids and lengths other than the commonest take no part. Repeated rows of one
-id count once. Fewer candidates than asked: all that the probed lists hold; as
-long as the lists are few (at most PROBE), that is every vector.
+id count once. As long as the lists are few (at most PROBE) the answer is exact.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ SAMPLE = 20_000
 #: Vectors that a list should hold; centroids, at most.
 LIST, MOST_LISTS = 400, 4096
 REPLICAS, BOUNDARY = 3, 1.12
-#: Lists a query visits at most, and the ratio of distances beyond which a list is pruned.
-PROBE, RATIO = 96, 1.45
+#: Lists a query visits: so many, or this share of all lists if that is more.
+PROBE, SHARE = 96, 1 / 6
 SLICE = 2000
 _DEGREE = 24
 
@@ -81,6 +84,10 @@ class Centroids:
 
     def search(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The n nearest centroids found, nearest first, and their distances."""
+        if 8 * n >= len(self.c):  # the graph would visit most of them
+            d = np.sqrt(((self.c - q) ** 2).sum(1))
+            order = np.argsort(d, kind="stable")[:n]
+            return order, d[order]
         width = min(len(self.c), 2 * n)
         seen = np.zeros(len(self.c), bool)
         seen[self.entry] = True
@@ -109,23 +116,51 @@ def _batch(t: pa.RecordBatch, column: str) -> np.ndarray:
     return np.array(t.column(column).flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1)
 
 
-def _listed(rows: DataFrame, shared, most: int, ratio: float) -> DataFrame:
-    """Rows (key, v) in each list that they belong to: (list, key, v)."""
+def probes(lists: int) -> int:
+    return min(lists, max(PROBE, ceil(SHARE * lists)))
+
+
+def near_lists(index: Centroids, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that a vector stands in, and its distances to their centroids."""
+    c, d = index.search(q, REPLICAS)
+    near = d <= BOUNDARY * d[0] + 1e-12
+    return c[near], d[near]
+
+
+def visited(index: Centroids, q: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> np.ndarray:
+    """The lists that a query visits, nearest first."""
+    full = (k + 1) * REPLICAS  # that many places hold k + 1 vectors, as a vector has at most REPLICAS
+    for n in (probes(len(sizes)), len(sizes)):
+        c, d = index.search(q, n)
+        c, d = c[sizes[c] > 0], d[sizes[c] > 0]
+        held = np.cumsum(sizes[c])
+        if len(held) and held[-1] >= full:
+            break
+    else:
+        return c
+    first = int(np.searchsorted(held, full)) + 1
+    bound = (d[:first] + radii[c[:first]]).max()  # k + 1 vectors are at most that far
+    return c[d - radii[c] <= bound * (1 + 1e-9) + 1e-9]
+
+
+def _listed(rows: DataFrame, how: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows (key, v) in each list that they go to, with a distance: (list, key, v, d)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Centroids = shared.value
         for t in batches:
             if not t.num_rows:
                 continue
-            at, lists = [], []
+            at, lists, far = [], [], []
             for i, q in enumerate(_batch(t, "v")):
-                c, d = index.search(q, most)
-                c = c[d <= ratio * d[0] + 1e-12]
+                c, d = how(q)
                 at += [i] * len(c)
                 lists += c.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *(t.column(c).take(pa.array(at)) for c in ("key", "v"))], names=["list", "key", "v"])
+                far += d.tolist()
+                if len(at) >= 20_000 or i + 1 == t.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *(t.column(c).take(pa.array(at, pa.int64())) for c in ("key", "v")), pa.array(far, pa.float64())], names=["list", "key", "v", "d"])
+                    at, lists, far = [], [], []
 
-    return rows.select("key", "v").mapInArrow(run, "list bigint, key bigint, v array<double>")
+    return rows.select("key", "v").mapInArrow(run, "list bigint, key bigint, v array<double>, d double")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -147,10 +182,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     lists = int(min(MOST_LISTS, max(1, total // LIST), max(1, len(sample) // 4)))
     index = Centroids(kmeans(sample, lists, np.random.default_rng(5)))
     shared = spark.sparkContext.broadcast(index)
-    posts = cut(_listed(first, shared, REPLICAS, BOUNDARY))
+    posts = cut(_listed(first, lambda v: near_lists(shared.value, v)))
+    held = posts.groupBy("list").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()  # at most MOST_LISTS rows
+    sizes, radii = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in held:
+        sizes[r["list"]], radii[r["list"]] = r["n"], r["r"]
+    limits = spark.sparkContext.broadcast((sizes, radii))
     ask = clean(queries, vec_id, embedding).where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))
-    routed = _listed(ask.select("key", "v").dropDuplicates(["key"]), shared, PROBE, RATIO)
-    long = posts.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+
+    def route(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = visited(shared.value, q, *limits.value, k)
+        return c, np.zeros(len(c))
+
+    routed = _listed(ask.select("key", "v").dropDuplicates(["key"]), route)
+    long = spark.createDataFrame([(r["list"], -(-r["n"] // SLICE)) for r in held], "list bigint, slices int")
     post = posts.join(F.broadcast(long), "list").select("list", F.pmod("key", "slices").cast("int").alias("slice"), F.lit(0).alias("kind"), "key", "v")  # at most MOST_LISTS rows
     visit = routed.join(F.broadcast(long), "list").select("list", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(1).alias("kind"), "key", "v")
 

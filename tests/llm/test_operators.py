@@ -236,6 +236,22 @@ def test_nearest(spark):
     assert op9_ann.search(df.limit(0), df).count() == 0
 
 
+def test_lists_visited_grow_with_the_lists():
+    assert op9_ann.probes(50) == 50 and op9_ann.probes(128) == 96 and op9_ann.probes(2500) > 400
+    rng = np.random.default_rng(2)
+    index = op9_ann.Centroids(rng.normal(size=(3000, 8)))
+    sizes, radii = np.ones(3000, np.int64), np.full(3000, 0.5)
+    for q in (index.c[7], rng.normal(size=8)):  # at its centroid a query visits enough lists too
+        d = np.sqrt(((index.c - q) ** 2).sum(1))
+        seen = op9_ann.visited(index, q, sizes, radii, 10)
+        assert sizes[seen].sum() >= 33
+        inside = np.argsort(d)[: op9_ann.probes(3000)]
+        bound = np.sort(d)[32] + 0.5
+        assert set(seen) == {i for i in inside if d[i] - 0.5 <= bound}
+    sizes[np.argsort(np.sqrt(((index.c - index.c[7]) ** 2).sum(1)))[:2980]] = 0  # few vectors: every list that holds some
+    assert sizes[op9_ann.visited(index, index.c[7], sizes, radii, 10)].sum() == 20
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_toxicity_of_held_out_rows(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
