@@ -174,8 +174,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     base = base.where(F.size("v") == dim)
     # One row a distinct vector: its smallest ids, kept by a rank that discards the others before the shuffle.
     rank = Window.partitionBy("v").orderBy("vec_id")
-    few = cut(base.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k + 1))
-    ids = few.withColumn("key", F.xxhash64("v")).dropDuplicates(["v", "vec_id"])
+    # Repeated rows go first (most before the shuffle), so that they take no other id's place.
+    few = cut(base.dropDuplicates(["v", "vec_id"]).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k + 1))
+    ids = few.withColumn("key", F.xxhash64("v"))
     first = few.where("_r = 1").select(F.xxhash64("v").alias("key"), "v")
     sample = np.array([r["v"] for r in first.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()], float).reshape(-1, dim)
     total = first.count()

@@ -236,6 +236,14 @@ def test_nearest(spark):
     assert op9_ann.search(df.limit(0), df).count() == 0
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [(0, near)] * 30 + [(i, near) for i in range(1, 9)] * 4 + [(100, far)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(r) for r in op9_ann.search(df, df.where("vec_id % 100 = 0")).collect())
+    assert got == op9_ann.brute(rows) and {r[2] for r in got if r[0] == 0} == {*range(1, 9), 100}
+
+
 def test_lists_visited_grow_with_the_lists():
     assert op9_ann.probes(50) == 50 and op9_ann.probes(128) == 96 and op9_ann.probes(2500) > 400
     rng = np.random.default_rng(2)
