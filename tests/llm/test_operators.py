@@ -141,6 +141,16 @@ def test_mixing(spark, docs, nothing):
     assert op3_mixing.mix(nothing).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    n = op3_mixing.MOST_SOURCES + 400
+    rows = [(i, f"s{i % n}") for i in range(n * 2)] + [(10**6 + i, "big") for i in range(64 * 40)] + [(10**7 + i, "last") for i in range(100)]
+    out = op3_mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), {"last": 0.0}).toPandas()
+    assert len(out) == len(rows) == out.doc_id.nunique() and out._slot.min() == 0 and out._slot.max() + 1 == out._slot.nunique() == n + 40 + 2
+    assert out.groupby("_slot")._source.nunique().max() == 1 and set(out[out._source == "last"]._slot) == {n + 40, n + 41}
+    big = np.sort(out[out._source == "big"]._slot.unique())
+    assert (np.diff(out[out._source == "big"].groupby("_block")._slot.first().sort_index()) > 0).all() and big[-1] > n  # it lasts when the small ones have ended
+
+
 PAGES = [
     (1, "https://a.org/x/1", "<nav>menu</nav><article><h1>T &amp; u</h1><p>one  two<br>three</article><footer>f</footer>"),
     (2, "https://a.org/x/2", "<div>shared line</div><div>own text of two</div><div class='sidebar'>s</div>"),
