@@ -430,7 +430,7 @@ def stream_windows(t):
 
 @query()
 def labelled_fields(t):
-    c = F.concat(F.lit("Location: "), "source", F.lit("\nDepartment: R&D | "), F.substring("text", 1, 2000))
+    c = F.concat(F.lit("Location: "), "source", F.lit("\nDepartment: R&D | "), "text")
     return t("documents").select("doc_id", text.labelled(c, "location").alias("location"), text.labelled(c, "department", True, 60).alias("department"), text.requirements("text").alias("requirements"))
 
 
