@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,9 @@ from .common import cut, groups, parts, row_slices
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Text that a bucket of anchors and chunks should stand for.
+BUCKET_BYTES = 32 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
 _NONE = np.iinfo(np.int64).max
@@ -46,13 +47,16 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        for base in (_B, _INV):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=np.uint64))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_B, _INV):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if n <= 4 * BLOCK_BYTES:  # those of a very long text aren't kept
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,7 +145,7 @@ def window_minima(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.
     out = owner.copy()
     text = PrefixHash(data)
     h = text.at(start, LENGTH)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     some = order[again]  # a window whose hash is alone has no equal
@@ -161,70 +165,79 @@ def window_minima(data: np.ndarray, start: np.ndarray, owner: np.ndarray) -> np.
 
 
 class Block:
-    """Whole documents as one byte string, its chunks and its anchored runs of windows."""
+    """Whole documents as one byte string, its chunks and its anchored runs of windows.
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    start, doc: first byte and document of each window of LENGTH bytes that lies in
+    one document; fresh: where the anchor or the document of a window isn't that of
+    the one before. Positions are 32-bit.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str | None], hashed: bool = True):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.known = np.array([i is not None for i in ids], bool)
         self.ids = np.array([_NONE if i is None else i for i in ids], np.int64)
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.raw = b"".join(texts)
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.size = np.array([len(t) for t in texts], np.int64)
         self.begin = np.cumsum(self.size) - self.size
+        known = np.array([i is not None for i in ids], bool)
+        n = np.where(known, np.maximum(self.size - LENGTH + 1, 0), 0)
+        first = np.cumsum(n) - n  # the first window of each document
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.start = np.arange(len(self.doc), dtype=np.int32) + np.repeat((self.begin - first).astype(np.int32), n)
+        if not hashed:
+            return
         self.text = PrefixHash(self.data)
-        key = self.text.all(GRAM)
-        # Starts of windows that lie in one document, and the document of each.
-        n = np.where(self.known, np.maximum(self.size - LENGTH + 1, 0), 0)
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin, n)
-        first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.zeros(0, bool)
+        self.key = key = self.text.all(GRAM)
         # Chunks start at the first window of a document and where the hash says so.
-        cutting = first | ((key[self.start] & np.uint64(255)) == 0)
-        self.chunk = np.cumsum(cutting) - 1
-        c = np.flatnonzero(cutting)
-        self.chunk_doc = self.doc[c]
-        ends = np.append(c[1:], len(self.start))[: len(c)]
-        raw = self.data.tobytes()
-        names = [xxhash.xxh3_128_digest(raw[s : e + LENGTH]) for s, e in zip(self.start[c].tolist(), self.start[ends - 1].tolist(), strict=True)]
-        self.chunk_name = np.frombuffer(b"".join(names), ">u8").reshape(-1, 2)
-        # The minimal gram of each window: hash above, position below, minima by doubling.
-        packed = (key & ~np.uint64((1 << 22) - 1)) | (np.arange(len(key), dtype=np.uint64) & np.uint64((1 << 22) - 1)) if len(key) < 1 << 22 else None
-        if packed is None:  # one text longer than a block
-            order = np.argsort(key, kind="stable")
-            packed = np.empty(len(key), np.uint64)
-            value = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]])).astype(np.uint64)
-            packed[order] = value << np.uint64(32)
-            packed |= np.arange(len(key), dtype=np.uint64)
-        low, have = packed, 1
+        self.fresh = np.zeros(len(self.start), bool)
+        self.fresh[first[n > 0]] = True
+        c = np.flatnonzero(self.fresh | ((key[self.start] & np.uint64(255)) == 0))
+        self.chunk_doc, self.chunk_size = self.doc[c], np.diff(np.append(c, len(self.start)))
+        last = self.start[c + self.chunk_size - 1] + LENGTH
+        names = [hashlib.blake2b(self.raw[s:e], digest_size=16).digest() for s, e in zip(self.start[c].tolist(), last.tolist(), strict=True)]
+        self.chunk_name = np.frombuffer(b"".join(names), ">u8").reshape(-1, 2).astype(np.uint64)
+        self.anchor = self._anchors()
+        self.fresh[1:] |= self.anchor[1:] != self.anchor[:-1]
+        self.run = np.flatnonzero(self.fresh)
+        self.run_hash = key[self.anchor[self.run]] >> np.uint64(17)
+
+    def _anchors(self) -> np.ndarray:
+        """Place of the minimal gram of each window: hash above, position below, minima by doubling."""
+        bits, low = 22, self.key
+        if len(low) < 1 << bits:
+            low = low & ~np.uint64((1 << bits) - 1)
+        else:  # a text longer than a block: ranks of the hashes
+            bits, order = 32, np.argsort(low, kind="stable")
+            value = np.cumsum(np.concatenate([[0], low[order][1:] != low[order][:-1]])).astype(np.uint64)
+            low = np.empty(len(low), np.uint64)
+            low[order] = value << np.uint64(32)
+        low |= np.arange(len(low), dtype=np.uint64)
+        have = 1
         while have < SPAN:
             step = min(have, SPAN - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
-        bits = np.uint64(((1 << 22) - 1) if len(key) < 1 << 22 else (1 << 32) - 1)
-        self.anchor = (low[self.start] & bits).astype(np.int64) if len(self.start) else np.zeros(0, np.int64)
-        self.key = key
+        return (low[self.start] & np.uint64((1 << bits) - 1)).astype(np.int32) if len(self.start) else np.zeros(0, np.int32)
 
     def runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last index (into start) of the wanted windows in a row with one anchor and document."""
-        i = np.flatnonzero(wanted)
-        if not len(i):
-            return i, i
-        fresh = np.concatenate([[True], (np.diff(i) != 1) | (self.anchor[i][1:] != self.anchor[i][:-1]) | (self.doc[i][1:] != self.doc[i][:-1])])
-        f = np.flatnonzero(fresh)
-        return i[f], i[np.append(f[1:], len(i)) - 1]
+        """First and last of the wanted windows in a row with one anchor and document."""
+        begin = wanted & self.fresh
+        begin[1:] |= wanted[1:] & ~wanted[:-1]
+        end = wanted.copy()
+        end[:-1] &= begin[1:] | ~wanted[1:]
+        return np.flatnonzero(begin), np.flatnonzero(end)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct chunk names, the smallest document of each here, and the place of each chunk among them."""
-        name, place = np.unique(self.chunk_name.astype(np.uint64), axis=0, return_inverse=True) if len(self.chunk_name) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        name, place = np.unique(self.chunk_name, axis=0, return_inverse=True) if len(self.chunk_name) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
         low = np.full(len(name), _NONE, np.int64)
         np.minimum.at(low, place.ravel(), self.ids[self.chunk_doc])
         return name, low, place.ravel()
 
     def anchors(self) -> np.ndarray:
         """Distinct anchor hashes of 47 bits; the lowest bit says whether two documents here have it."""
-        a, _ = self.runs(np.ones(len(self.start), bool))
-        h = self.key[self.anchor[a]] >> np.uint64(17)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], self.ids[self.doc[a]][order]
+        order = np.argsort(self.run_hash, kind="stable")
+        h, d = self.run_hash[order], self.ids[self.doc[self.run]][order]
         fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         if not len(fresh):
             return h
@@ -377,25 +390,27 @@ def _opened(block: Block, answers: list[dict], buckets: int) -> _Open:
             y = y[np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(y)).astype(bool)]
             low[y] = np.minimum(low[y], _unzip(r["c"])[0])
     shared = asked[is_shared] >> np.uint64(1)
-    settled = (low[place] < block.ids[block.chunk_doc])[block.chunk] if len(name) else np.zeros(0, bool)
-    h = block.key[block.anchor] >> np.uint64(17)
-    at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-    a, b = block.runs(~settled & (shared[at] == h if len(shared) else np.zeros(len(h), bool)))
+    settled = np.repeat(low[place] < block.ids[block.chunk_doc], block.chunk_size) if len(name) else np.zeros(0, bool)
+    at = np.minimum(np.searchsorted(shared, block.run_hash), max(0, len(shared) - 1))
+    asked_for = shared[at] == block.run_hash if len(shared) else np.zeros(len(at), bool)
+    a, b = block.runs(~settled & np.repeat(asked_for, np.diff(np.append(block.run, len(block.start)))))
     # Distinct segments of this block, and the smallest document of each.
-    start, n = block.start[a], b - a + LENGTH
-    mark = block.text.at(start, n) * np.uint64(_INV) + _mix(n.astype(np.uint64))
-    order = np.lexsort((block.ids[block.doc[a]], block.key[block.anchor[a]], mark))
-    fresh = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (block.key[block.anchor[a]][order][1:] != block.key[block.anchor[a]][order][:-1])])[: len(a)]
-    raw, group = block.data.tobytes(), np.cumsum(fresh) - 1
-    if len(a):  # a collision of hashes must not merge segments
-        lead = order[np.flatnonzero(fresh)][group]
-        same = np.fromiter((x == y or raw[start[x] : start[x] + n[x]] == raw[start[y] : start[y] + n[y]] for x, y in zip(order.tolist(), lead.tolist(), strict=True)), bool, len(order))
-        if not same.all():
-            order, group = np.arange(len(a)), np.arange(len(a))
+    start, n = block.start[a], (b - a + LENGTH).astype(np.int32)
+    mark = block.text.at(start, n) * np.uint64(_INV) + _mix(n.astype(np.uint64)) + _mix(block.key[block.anchor[a]])
+    order = np.argsort(mark, kind="stable")
+    fresh = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])[: len(a)]
+    group = np.cumsum(fresh) - 1
+    lead = order[fresh][group] if len(a) else order
+    again = np.flatnonzero(order != lead)
+    raw = block.raw
+    for x, y in zip(order[again].tolist(), lead[again].tolist(), strict=True):
+        if raw[start[x] : start[x] + n[x]] != raw[start[y] : start[y] + n[y]]:  # a collision of hashes must not merge segments
+            order = group = np.arange(len(a))
             fresh = np.ones(len(a), bool)
-    of = np.empty(len(a), np.int64)
+            break
+    of = np.empty(len(a), np.int32)
     of[order] = group
-    pick = order[np.flatnonzero(fresh)] if len(a) else order
+    pick = order[fresh]
     least = np.full(len(pick), _NONE, np.int64)
     np.minimum.at(least, of, block.ids[block.doc[a]])
     return _Open(settled, a, of, pick, start[pick], n[pick], least)
@@ -407,7 +422,7 @@ def _segments(buckets: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups(batches, ["block"]):
             _, block = _open(rows[0], names)
-            left, raw, out = _opened(block, rows[1:], buckets), block.data.tobytes(), []
+            left, raw, out = _opened(block, rows[1:], buckets), block.raw, []
             for k, x in _dealt((block.key[block.anchor[left.a[left.pick]]] % np.uint64(buckets)).astype(np.int64), buckets):
                 data = b"".join(raw[s : s + m] for s, m in zip(left.start[x].tolist(), left.n[x].tolist(), strict=True))
                 out.append(_row(k, number, _SEGMENT, _zip(np.frombuffer(data, np.uint8), left.n[x].astype(np.int16), left.least[x], x.astype(np.int32))))
@@ -446,26 +461,26 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(block: Block, rows: list[dict], buckets: int) -> np.ndarray:
     """Which bytes of the block go."""
     left = _opened(block, [r for r in rows if r["kind"] == _REPLY], buckets)
-    gone, a, of, n, least = left.settled.copy(), left.a, left.of, left.n, left.least
-    count = n - LENGTH + 1
+    gone, a, of = left.settled, left.a, left.of
+    count = left.n.astype(np.int64) - LENGTH + 1
     base = np.cumsum(count) - count
-    low = np.repeat(least, count)
+    low, lowest = np.repeat(left.least, count), left.least.copy()
     for r in rows:
         if r["kind"] == _MINIMA:
             seg, off, length, value = (x.astype(np.int64) for x in _unzip(r["a"]))
-            first = base[seg] + off
-            at = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            at = np.repeat(base[seg] + off - (np.cumsum(length) - length), length) + np.arange(length.sum())
             low[at] = np.minimum(low[at], np.repeat(value, length))
-    m = count[of]
+            np.minimum.at(lowest, seg, value)
+    own = block.ids[block.doc[a]]
+    some = np.flatnonzero(lowest[of] < own)  # runs that a smaller document shares in part
+    m = count[of[some]]
     index = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    window = np.repeat(a, m) + index
-    smaller = low[np.repeat(base[of], m) + index] < block.ids[block.doc[window]]
-    gone[window[smaller]] = True
-    cover = np.zeros(len(block.data) + LENGTH + 1, np.int64)
-    s = block.start[gone]
-    np.add.at(cover, s, 1)
-    np.add.at(cover, s + LENGTH, -1)
-    return np.cumsum(cover)[: len(block.data)] > 0
+    smaller = low[np.repeat(base[of[some]], m) + index] < np.repeat(own[some], m)
+    gone[(np.repeat(a[some], m) + index)[smaller]] = True
+    begun = np.zeros(len(block.data) + 1, np.int32)
+    begun[block.start[gone] + 1] = 1
+    np.cumsum(begun, out=begun)  # windows that go and start before a byte
+    return begun[1:] > begun[np.maximum(np.arange(len(block.data)) - LENGTH + 1, 0)]
 
 
 def _text(raw: bytes, gone: np.ndarray) -> str:
@@ -479,8 +494,9 @@ def _text(raw: bytes, gone: np.ndarray) -> str:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, then _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left)."""
-    buckets, columns, names = 4 * parts(docs.sparkSession), list(docs.columns), (doc_id, text)
+    columns, names = list(docs.columns), (doc_id, text)
     blocks = cut(_blocks(docs, text))
+    buckets = max(4 * parts(docs.sparkSession), blocks.count() * BLOCK_BYTES // BUCKET_BYTES)
     by = lambda df, key: df.repartition(key).sortWithinPartitions(key, "kind")
     answers = cut(by(blocks.mapInArrow(_ask(buckets, names), _DDL), "bucket").mapInArrow(_answer, _DDL))
     segments = by(blocks.union(answers), "block").mapInArrow(_segments(buckets, names), _DDL)
