@@ -342,7 +342,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket -> for each block its shared anchors, and its chunks that a smaller document has, with that document."""
     for _, rows in groups(batches, ["bucket"]):
         h = [_unpack6(r["a"]) for r in rows]
-        of = np.repeat(np.arange(len(rows)), [len(x) for x in h])
+        of = np.cumsum([0, *map(len, h)])
         h = np.concatenate(h)
         order = np.argsort(h >> np.uint64(1), kind="stable")
         v = h[order] >> np.uint64(1)
@@ -354,16 +354,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[order] = shared[run] if len(v) else False
         names = [np.frombuffer(r["b"], np.uint64).reshape(-1, 2) for r in rows]
         low = np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows])
-        at = np.repeat(np.arange(len(rows)), [len(x) for x in names])
+        of_name = np.cumsum([0, *map(len, names)])
         name, place = np.unique(np.concatenate(names), axis=0, return_inverse=True) if len(low) else (None, np.zeros(0, np.int64))
         least = np.full(len(name) if name is not None else 0, _NONE, np.int64)
         np.minimum.at(least, place.ravel(), low)
-        names = np.concatenate(names)
-        smaller = least[place.ravel()] < low if len(low) else np.zeros(0, bool)
+        least = least[place.ravel()]
+        smaller = least < low
         for i, r in enumerate(rows):
-            x, y = keep & (of == i), smaller & (at == i)
+            x, y = keep[of[i] : of[i + 1]], smaller[of_name[i] : of_name[i + 1]]
             if x.any() or y.any():  # a bit for each anchor and each chunk that was asked for, in the order asked
-                yield _rows([_row(r["bucket"], r["block"], _REPLY, np.packbits(keep[of == i]).tobytes(), np.packbits(smaller[at == i]).tobytes(), _zip(least[place.ravel()[y]]))], _WIRE)
+                yield _rows([_row(r["bucket"], r["block"], _REPLY, np.packbits(x).tobytes(), np.packbits(y).tobytes(), _zip(least[of_name[i] : of_name[i + 1]][y]))], _WIRE)
 
 
 class _Open:
@@ -437,7 +437,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in groups(batches, ["bucket"]):
         parts_ = [_unzip(r["a"]) for r in rows]
         n = [p[1].astype(np.int64) for p in parts_]
-        of = np.repeat(np.arange(len(rows)), [len(x) for x in n])
+        of = np.cumsum([0, *map(len, n)])
         size, owner = np.concatenate(n), np.concatenate([p[2] for p in parts_])
         begin = np.cumsum(size) - size
         count = size - LENGTH + 1
@@ -452,10 +452,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = np.diff(np.append(fresh, len(seg)))
         seg, off, low = seg[fresh], off[fresh], low[fresh]
         own = np.concatenate([p[3] for p in parts_])
-        for i, r in enumerate(rows):
-            x = of[seg] == i
-            if x.any():
-                yield _rows([_row(r["bucket"], r["block"], _MINIMA, _zip(own[seg[x]], off[x].astype(np.int8), length[x].astype(np.int8), low[x]))], _WIRE)
+        ends = np.searchsorted(seg, of)  # segments of a block are in a row
+        for r, x, y in zip(rows, ends[:-1], ends[1:], strict=True):
+            if x < y:
+                yield _rows([_row(r["bucket"], r["block"], _MINIMA, _zip(own[seg[x:y]], off[x:y].astype(np.int8), length[x:y].astype(np.int8), low[x:y]))], _WIRE)
 
 
 def _spans(block: Block, rows: list[dict], buckets: int) -> np.ndarray:
