@@ -4,29 +4,92 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., so that none clashes with an operator's own, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where it is unset (tests, a laptop), a local one."""
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a local one, on a single machine only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Checkpoints of the innermost `tidy` block.
+_HELD: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the shared folder."""
     scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _HELD:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _HELD[-1].append(file.get())
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside go at the end, when what needs them is written."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for path in _HELD.pop():
+            remove(spark, path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """left.join(right, key) where one key may hold much of left; right has few rows a key.
+
+    total: rows of left, about. Keys of more than a 5,000th of them (1,000 at least) are
+    dealt over pieces by a hash of `by`, right's rows of such a key are repeated for each
+    piece. The list of these keys has at most 5,000 rows, so it is collected and broadcast.
+    """
+    most = max(1000, total // 5000)
+    if total <= most:
+        return left.join(right, key, how)
+    found = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > most) & F.col("_hot").isNotNull()).select("_hot", F.ceil(F.col("_n") / most).alias("_pieces"))
+    rows = found.collect()
+    if not rows:
+        return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(rows, found.schema)
+    spread = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
+    one = spread(left).withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*(by or left.columns)), "_pieces"), F.lit(0))).drop("_hot", "_pieces")
+    two = spread(right).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_hot", "_pieces")
+    return one.join(two, [key, "_piece"], how).drop("_piece")
+
+
+def first_by_hash(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """About `most` keys (all, if there are fewer), by a bound on their hashes: no sort, no rows through one task."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
 def parts(spark: SparkSession) -> int:

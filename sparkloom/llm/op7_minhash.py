@@ -14,8 +14,9 @@
    more, on full sets. Either leaves only a spanning forest, so rows stay in
    proportion to the documents, and no pivot choice loses a link.
 
-Null or empty texts have no shingles, link with nothing and are kept. Rows that
-share a doc_id are one node. A null doc_id takes no part in links and is kept.
+Keys that hold many rows (a hub, a bucket, a class of copies) are dealt over tasks in
+every join. Null or empty texts have no shingles, link with nothing and are kept. Rows
+that share a doc_id are one node, whatever their texts. A null doc_id takes no part in links and is kept.
 The probability that banding misses a pair at exactly 0.8 is about 2e-6, that
 the estimate rejects it about 1e-6.
 """
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, row_slices
+from .common import cut, groups, row_slices, sealed, spread_join
 
 BANDS, ROWS = 44, 6
 #: Share of equal minima below which a pair isn't confirmed: 0.8 less five standard deviations of the estimate.
@@ -42,7 +43,7 @@ _M = (1 << 64) - 1
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -130,18 +131,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, by alternating large-star and small-star.
 
-    Each round is two joins on the node; self loops are ignored; no edges give no rows.
+    Each round is two joins on the node, in which the edges of a node with many are dealt
+    over tasks; self loops are ignored; no edges give no rows.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, n = None, now.count()
     while True:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.expr("u = x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        small = large.join(low, F.expr("u = x")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", n).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         now = cut(small.where("u <> v").distinct())
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        n = mark[0]
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -154,7 +156,8 @@ def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _alike(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and signatures allow the similarity."""
     one, two = (sig.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    n = pairs.count()
+    both = spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"]).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -217,7 +220,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint").distinct()
+    n = pairs.count()
+    return spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"]).select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _forest(members: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
@@ -260,39 +264,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sig = cut(signatures(docs, doc_id, text, k))
+    total = sig.count()
     rows = sig.where("key is not null and doc_id is not null")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = cut(rows.join(classes, "key").where("doc_id = rep").select("rep", "n", "sig", "bands").dropDuplicates(["rep", "n"]))
+    # One row a class of equal texts, by partial aggregation; an id with several texts stands in several classes.
+    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sig", "bands"), "doc_id").alias("s")).select("key", "rep", "s.n", "s.sig", "s.bands"))
+    classes = reps.select("key", "rep")
     band = reps.select("rep", F.explode("bands").alias("h"))
     sizes = band.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(band.join(sizes, "h"))
+    shared = cut(spread_join(band, sizes, "h", BANDS * total))
+    many = shared.count()
     degree = shared.groupBy("rep").agg(F.sum("size").alias("degree"))
     hub = shared.join(degree, "rep").groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("h", (-F.col("top.r")).alias("hub"))
-    pairs = cut(shared.join(hub, "h").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    pairs = cut(spread_join(shared, hub, "h", many).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     light = reps.select("rep", "n", "sig")
     links = cut(_confirmed(cut(_alike(pairs, light, percent).distinct()), plain, k, percent))
     comp = components(links)
     labelled = shared.join(comp, F.expr("rep = node"), "left").select("h", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    alike = cut(_forest(labelled.join(mixed, "h", "left_semi").join(light, "rep"), "h", percent, False))
+    alike = cut(_forest(spread_join(labelled, mixed, "h", many).join(light, "rep"), "h", percent, False))
     if not alike.isEmpty():
         cluster = components(links.union(alike)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
         known = cluster.join(comp, F.expr("rep = node"), "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
         several = known.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster", "size")
-        members = cut(known.join(several, "cluster"))
+        members = cut(spread_join(known, several, "cluster", total))
         full = _full(members.select(F.col("rep").alias("doc_id")), plain, k).withColumnRenamed("doc_id", "rep")
         more = cut(_forest(members.join(light, "rep").join(full, "rep"), "cluster", percent, True))
         comp = components(links.union(more))
     named = classes.join(comp, F.expr("rep = node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
-    out = sig.join(named, "key", "left")
+    out = spread_join(sig.select("doc_id", "key", "n"), named, "key", total, "left", by=["doc_id"])
     linked = F.col("doc_id").isNotNull() & F.col("key").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("c")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all its columns; rows that repeat a doc_id stay together."""
-    gone = near_duplicates(docs, doc_id, text, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == F.col("_gone"), "left_anti")
+    """One document of each group, with all its columns, whatever their names; rows that repeat a doc_id stay together."""
+    rows, names = sealed(docs)
+    gone = near_duplicates(rows, names[doc_id], names[text], k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return rows.join(gone, rows[names[doc_id]].cast("bigint") == F.col("_gone"), "left_anti").toDF(*docs.columns)
 
 
 def brute(docs: list[tuple], k: int = 5, percent: int = 80) -> list[tuple]:

@@ -8,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from sparkloom.llm import op1_warc, op2_suffix_dedup, op3_mixing, op4_html, op5_language, op6_quality, op7_minhash, op8_toxicity, op9_ann, op10_decontaminate
+from sparkloom.llm import common, op1_warc, op2_suffix_dedup, op3_mixing, op4_html, op5_language, op6_quality, op7_minhash, op8_toxicity, op9_ann, op10_decontaminate
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -321,3 +321,24 @@ def test_language(spark):
     got = sorted((r["page_id"], r["lang"]) for r in op5_language.identify(odd, read("documents")).collect())
     assert got[1:] == [(2, "de"), (2, "de")]
     assert op5_language.identify(odd.limit(0), read("documents").limit(0)).count() == 0
+
+
+def test_texts_of_one_id_link_one_node(spark):
+    x, y = "a b c d e f g h i j", "k l m n o p q r s t"  # sets of one size
+    df = spark.createDataFrame([(5, x), (5, y), (7, x), (9, y)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in op7_minhash.near_duplicates(df).collect()) == [(5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_a_join_with_a_hot_key(spark):
+    left = spark.createDataFrame([(0, i) for i in range(3000)] + [(i, 0) for i in range(1, 50)] + [(None, 7)], "k int, v int")
+    right = spark.createDataFrame([(i, str(i)) for i in range(40)], "k int, w string")
+    got = sorted((r["k"], r["v"], r["w"]) for r in common.spread_join(left, right, "k", 3050).collect())
+    assert got == sorted((r["k"], r["v"], r["w"]) for r in left.join(right, "k").select("k", "v", "w").collect())
+    assert common.spread_join(left, right, "k", 3050, "left").count() == 3050
+
+
+def test_tidy_removes_checkpoints(spark):
+    with common.tidy(spark):
+        assert common.cut(spark.range(3)).count() == 3
+        held = list(common._HELD[-1])
+    assert len(held) == 1 and not os.path.exists(held[0].removeprefix("file:"))
