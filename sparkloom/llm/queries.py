@@ -83,16 +83,16 @@ ORACLE: dict[str, str] = {
     """,
     "op10_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-        i AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p:p + 12], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0),
-        s AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i) AS l, unnest(range(1, len(w) - n + 2)) AS t(p)),
-        h AS (SELECT s.doc_id, s.p, s.n, i.item_id FROM s JOIN i ON s.n = i.n AND s.k = i.k),
-        c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h) AS x, unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
-        g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) AS x GROUP BY doc_id),
-        r AS (SELECT doc_id, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS run FROM (SELECT DISTINCT doc_id, q FROM (SELECT DISTINCT doc_id, p, n FROM h) AS x, unnest(range(p, p + n)) AS t(q)) AS y),
-        m AS (SELECT doc_id, max(n) AS longest_match FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run) AS x GROUP BY doc_id)
+        b AS (SELECT row_number() OVER () AS t, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS (SELECT t, coalesce(CAST(item_id AS VARCHAR), '') AS item, p AS o, least(len(w), 13) AS n, array_to_string(w[p:p + 12], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(p) WHERE len(w) > 0),
+        s AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i) AS l, unnest(range(1, len(w) - n + 2)) AS u(p)),
+        h AS (SELECT s.doc_id, s.p, s.n, i.t, i.o, i.item FROM s JOIN i ON s.n = i.n AND s.k = i.k),
+        c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h) AS x, unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) AS x GROUP BY doc_id),
+        r AS (SELECT doc_id, t, p, n, o - p AS diagonal, p - row_number() OVER (PARTITION BY doc_id, t, o - p ORDER BY p) AS run FROM h),
+        m AS (SELECT doc_id, max(k) AS longest_match, min(p - 1) FILTER (k = best) AS longest_at FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS best FROM (SELECT doc_id, min(p) AS p, count(*) + max(n) - 1 AS k FROM r GROUP BY doc_id, t, diagonal, run) AS x) AS y GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match, longest_at
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
 }

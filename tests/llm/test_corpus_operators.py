@@ -111,16 +111,16 @@ def test_window_minima_survives_equal_hashes(monkeypatch):
 
 def test_decontamination(spark, docs, rows, nothing):
     long = [t for _, t in rows if t and 60 < len(t.split()) < 200]
-    items = [(1, " ".join(long[0].split()[5:30])), (2, long[1]), (3, "w1 w2"), (4, None), (5, ""), (10, long[0]), (6, "one")]
+    items = [(1, " ".join(long[0].split()[5:30])), (2, long[1]), (3, "w1 w2"), (4, None), (5, ""), (10, long[0]), (6, "one"), (None, " ".join(long[0].split()[2:20] + long[1].split()[3:20]))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted(op10_decontaminate.brute(rows, items), key=str)
     for words in (10_000, 40):  # in one block and in several
-        got = op10_decontaminate.digest(op10_decontaminate.matches(docs, bench, block_words=words)).drop("longest_match")
+        got = op10_decontaminate.digest(op10_decontaminate.matches(docs, bench, block_words=words))
         assert sorted((tuple(r) for r in got.collect()), key=str) == want
     kept = op10_decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
     assert op10_decontaminate.matches(nothing, bench).count() == 0
-    assert op10_decontaminate.matches(docs, bench.limit(0)).where("_m_n_hit > 0").count() == 0
+    assert op10_decontaminate.matches(docs, bench.limit(0)).where("size(_m.hit) > 0").count() == 0
 
 
 def test_schedule_stays_within_a_block():
