@@ -3,10 +3,12 @@
 import hashlib
 import os
 import random
+from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import common, op1_warc, op2_suffix_dedup, op3_mixing, op4_html, op5_language, op6_quality, op7_minhash, op8_toxicity, op9_ann, op10_decontaminate
 
@@ -123,14 +125,52 @@ def test_decontamination(spark, docs, rows, nothing):
     assert op10_decontaminate.matches(docs, bench.limit(0)).where("size(_m.hit) > 0").count() == 0
 
 
-def test_schedule_stays_within_a_block():
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    units = op3_mixing.apportion(weights)
-    slots = op3_mixing.period(units)
-    assert sum(units.values()) == op3_mixing.UNITS and sorted(x for s in slots.values() for x in s) == list(range(op3_mixing.UNITS))
-    for s, at in slots.items():
-        done = np.searchsorted(at, np.arange(1, op3_mixing.UNITS + 1))
-        assert np.abs(done - units[s] / op3_mixing.UNITS * np.arange(1, op3_mixing.UNITS + 1)).max() < 1
+def test_schedule_stays_within_a_block_of_the_exact_weights():
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"x": 2**0.5, "y": 1.0, "z": 3**0.5}, {f"s{i}": 1 / (i + 1) for i in range(40)}):
+        share = op3_mixing.shares(weights)
+        total = sum(share.values())
+        done = dict.fromkeys(share, 0)
+        for span in (*range(3), 200):  # spans may be made in any order
+            t = span * op3_mixing.SPAN
+            if span == 200:
+                done = op3_mixing.done_by(share, total, t)
+            for s, j in op3_mixing.schedule(share, t):
+                assert done[s] == j and j * total // share[s] <= t < -(-(j + 1) * total // share[s])
+                done[s] += 1
+                t += 1
+                assert t % 97 or all(abs(done[x] * total - t * share[x]) < total for x in share)
+
+
+def brute_mix(blocks, weights):
+    """(source, block) by slot: earliest deadline first, slot by slot, with a new phase where a source ends."""
+    left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while left:
+        now = {s: Fraction(weights[s]) for s in left if weights[s] > 0} or dict.fromkeys(left, Fraction(1))
+        w = {s: x / sum(now.values()) for s, x in now.items()}
+        had, t = dict.fromkeys(w, 0), 0
+        while all(had[s] < left[s] for s in w):
+            ready = [s for s in w if had[s] / w[s] < t + 1]
+            s = min(ready, key=lambda s: (-(-(had[s] + 1) / w[s] // 1), s)) if ready else None
+            out.append((s, done[s] + had[s]))
+            had[s] += 1
+            t += 1
+        for s in w:
+            done[s] += had[s]
+            left[s] -= had[s]
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_phases_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(20):
+        blocks = {f"s{i}": rng.randrange(1, 60) for i in range(rng.randrange(1, 6))}
+        weights = {s: rng.choice([0.0, 1.0, n**0.5, rng.random()]) for s, n in blocks.items()}
+        got = []
+        for p in op3_mixing.phases(blocks, weights):
+            assert p["start"] == len(got)
+            got += [(s, p["first"][s] + j) for s, j in op3_mixing.schedule(p["share"], 0)[: p["length"]]]
+        assert got == brute_mix(blocks, weights)
 
 
 def test_mixing(spark, docs, nothing):
@@ -139,6 +179,10 @@ def test_mixing(spark, docs, nothing):
     assert len(out) == 3000 == out.doc_id.nunique() and out.groupby("_slot")._source.nunique().max() == 1 and out._slot.max() + 1 == out._slot.nunique()
     assert len(out.groupby(["_slot", "_place"])) == 3000 and out._place.max() < op3_mixing.BLOCK
     assert op3_mixing.mix(nothing).count() == 0
+    again = many.union(many.limit(10)).withColumns({"_hash": F.lit(1), "_source": F.lit("mine")})
+    odd = op3_mixing.mix(again)
+    assert odd.count() == 3010 and odd.columns == ["doc_id", "source", "_hash", "_source", "_block", "_slot", "_place"]
+    assert {r["_source"] for r in odd.select("_source").distinct().collect()} == {"", "a", "b"} and {r["_hash"] for r in odd.collect()} == {1}
 
 
 def test_mixing_of_many_sources(spark):
