@@ -8,12 +8,16 @@ disk or the driver. A reader task streams its files record by record, guided by
 Content-Length, and returns the captures of its files as one sorted run.
 
 Runs are merged without a global sort in one place: the key space (URL key, time,
-page) is cut into ranges; each range holds a piece of each run, and a loser tree
-merges these pieces by log2(runs) comparisons a capture. A large host spreads over
-several ranges, as the time and the page belong to the key.
+page) is cut into ranges of about RANGE_ROWS captures, whatever the size of the
+index; each range gets its piece of each run, in order from Spark's external sort,
+and a loser tree merges these pieces by log2(runs) comparisons a capture. A range
+holds columns of index entries, never payloads. A large host or URL spreads over
+several ranges, as the time and the page belong to the key; the histories number
+the captures of a URL key across them.
 
 Null html is an empty payload; a null URL has an empty URL key. The table has no
-capture time, so page_id seconds after EPOCH serve as WARC-Date. Rows that share
+capture time, so page_id seconds after EPOCH serve as WARC-Date, in UTC whatever
+the session's time zone, kept within the years 1970 to 9999. Rows that share
 a page_id get equal record types; a null page_id is larger than all others.
 """
 
@@ -25,14 +29,18 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, parts, scratch
 
 LEAST_PAYLOAD = 100
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
+LAST = 253_402_300_799  # 9999-12-31T23:59:59Z
+#: Captures that a range of the merge should hold.
+RANGE_ROWS = 100_000
 _END = "\r\n"
 _FIELDS = "page_id bigint, url string, urlkey string, ts bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -60,7 +68,9 @@ def with_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 def record(rows: DataFrame) -> DataFrame:
     """One WARC record a row as text, without its last line end."""
     revisit = F.col("refers_to").isNotNull()
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.greatest(F.lit(-EPOCH), F.least(F.lit(LAST - EPOCH), F.coalesce("page_id", F.lit(0)))) + EPOCH
+    part = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    date = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / 86400).cast("int")).cast("string"), F.lit("T"), part(at % 86400 / 3600), F.lit(":"), part(at % 3600 / 60), F.lit(":"), part(at % 60), F.lit("Z"))
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_END))
     optional = lambda test, name, value: F.when(test, line(name, value)).otherwise("")
@@ -195,29 +205,53 @@ class LoserTree:
             self._play(w)
 
 
+class _Piece:
+    """A run's part of a range, row by row, over Arrow columns."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.table = pa.Table.from_batches(batches).combine_chunks()
+        self.keys = [self.table.column(c).combine_chunks() for c in ("urlkey", "ts", "page_id")]
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+    def __getitem__(self, i: int) -> tuple:
+        urlkey, ts, page = (c[i].as_py() for c in self.keys)
+        return (urlkey, ts, page is None, page or 0), i, self
+
+
 def merge(runs: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, time and page; position counts the earlier captures of a range, range the ranges."""
+    """Captures in global order of URL key, time and page; position counts the earlier captures of a range, range the ranges; nth counts those of the URL key within the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces: dict[int, list[dict]] = {}
+        pieces: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                pieces.setdefault(row["run"], []).append(row)
-        for piece in pieces.values():
-            piece.sort(key=lambda r: r["seq"])  # the shuffle may deliver a run's rows in another order
-        out, number, n = [], TaskContext.get().partitionId(), 0
-        for row in LoserTree([pieces[k] for k in sorted(pieces)], key_of):
-            out.append({**{c: row[c] for c in _SCHEMA.names[:-2]}, "run": number, "seq": n})
-            n += 1
-            if len(out) == 5000:
-                yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-
-    return runs.repartitionByRange("urlkey", "ts", F.col("page_id").asc_nulls_last()).mapInArrow(run, _FIELDS + ", run bigint, seq bigint").withColumnsRenamed({"run": "range", "seq": "position"})
+            at = batch.column("run").to_numpy()
+            ends = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                pieces.setdefault(int(at[s]), []).append(batch.slice(s, e - s))
+        held = [_Piece(pieces.pop(k)) for k in sorted(pieces)]
+        offset = dict(zip(map(id, held), np.cumsum([0, *map(len, held)])[:-1].tolist(), strict=True)) if held else {}
+        order, nth, last = [], [], None
+        for key, i, piece in LoserTree(held, lambda x: x[0]):
+            nth.append(nth[-1] + 1 if nth and key[0] == last else 1)
+            last = key[0]
+            order.append(offset[id(piece)] + i)
+        if not held:
+            return
+        whole, number = pa.concat_tables([p.table for p in held]), TaskContext.get().partitionId()
+        for i in range(0, len(order), 5000):
+            part = whole.take(pa.array(order[i : i + 5000])).combine_chunks()
+            n = part.num_rows
+            columns = [part.column(c).combine_chunks() for c in _SCHEMA.names[:-2]] + [pa.array([number] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), pa.array(nth[i : i + n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_SCHEMA.names[:-2], "range", "position", "nth"])
+
+    spark = runs.sparkSession
+    ranges = max(parts(spark), runs.count() // RANGE_ROWS)
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", F.col("page_id").asc_nulls_last()).sortWithinPartitions("run", "seq")
+    return dealt.mapInArrow(run, _FIELDS + ", range bigint, position bigint, nth bigint")
 
 
 def read_archives(df: DataFrame, folder: str) -> DataFrame:
@@ -227,11 +261,19 @@ def read_archives(df: DataFrame, folder: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
+    """The merged index of archives of the pages, with each capture's number in the history of its URL key."""
     folder = f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder)
-    return read_archives(pages, folder)
+    return histories(read_archives(pages, folder))
 
 
 def histories(index: DataFrame) -> DataFrame:
-    """For every capture its number in the history of its URL key, by time."""
-    return index.withColumn("capture", F.row_number().over(Window.partitionBy("urlkey").orderBy("ts", F.col("page_id").asc_nulls_last())))
+    """For every capture its number in the history of its URL key, by time and page: that in the range, and what earlier ranges hold of the key."""
+    index = cut(index)
+    held = index.groupBy("urlkey", "range").agg(F.max("nth").alias("n"))
+    # A key in more than one range ends one and starts the next, so there are fewer such keys than ranges.
+    several = held.groupBy("urlkey").agg(F.count("*").alias("ranges")).where("ranges > 1").select("urlkey")
+    before = Window.partitionBy("urlkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = held.join(several, "urlkey").select("urlkey", "range", F.sum("n").over(before).alias("before"))
+    out = index.join(F.broadcast(offset), ["urlkey", "range"], "left")
+    return out.withColumn("capture", F.col("nth") + F.coalesce("before", F.lit(0))).drop("nth", "before")

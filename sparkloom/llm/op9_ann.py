@@ -17,7 +17,8 @@
 Distances are Euclidean in double precision on the original vectors; ties go to
 the smaller id. Vectors that are null, zero or hold a null or non-finite component,
 null ids and lengths other than the commonest take no part. Repeated rows of one
-id count once. As long as the lists are few (at most PROBE) the answer is exact.
+id count once; of different vectors of one id the smallest in the order of arrays
+counts. Equal vectors are found by their components, not by a hash. As long as the lists are few (at most PROBE) the answer is exact.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, groups
+from .common import cut, first_by_hash, spread_join
 
-#: Rows that the centroids are fitted on, at most.
+#: Distinct vectors that the centroids are fitted on, about, chosen by a bound on hashes of ids.
 SAMPLE = 20_000
 #: Vectors that a list should hold; centroids, at most.
 LIST, MOST_LISTS = 400, 4096
@@ -45,7 +46,7 @@ _DEGREE = 24
 
 
 def clean(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, v (array of doubles) of the rows that take part, one a vec_id."""
+    """vec_id, v (array of doubles) of the rows that take part."""
     v = F.col(embedding).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     return rows.where(F.col(vec_id).isNotNull() & good).select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v"))
@@ -171,14 +172,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     if not size:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim = size[0]["n"]
-    base = base.where(F.size("v") == dim)
-    # One row a distinct vector: its smallest ids, kept by a rank that discards the others before the shuffle.
-    rank = Window.partitionBy("v").orderBy("vec_id")
-    # Repeated rows go first (most before the shuffle), so that they take no other id's place.
-    few = cut(base.dropDuplicates(["v", "vec_id"]).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k + 1))
-    ids = few.withColumn("key", F.xxhash64("v"))
-    first = few.where("_r = 1").select(F.xxhash64("v").alias("key"), "v")
-    sample = np.array([r["v"] for r in first.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()], float).reshape(-1, dim)
+    one = lambda df: df.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # One row a distinct vector: its smallest ids, kept by a rank that discards the others before the shuffle; its key is the smallest.
+    same = Window.partitionBy("v")
+    few = one(base).withColumn("_r", F.row_number().over(same.orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    few = cut(few.withColumn("key", F.min("vec_id").over(same)))
+    ids = few.select("key", "vec_id")
+    first = few.where("_r = 1").select("key", "v")
+    sample = np.array([r["v"] for r in sorted(first_by_hash(first, "key", SAMPLE, 9).collect(), key=lambda r: r["key"])], float).reshape(-1, dim)
     total = first.count()
     lists = int(min(MOST_LISTS, max(1, total // LIST), max(1, len(sample) // 4)))
     index = Centroids(kmeans(sample, lists, np.random.default_rng(5)))
@@ -189,34 +190,54 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     for r in held:
         sizes[r["list"]], radii[r["list"]] = r["n"], r["r"]
     limits = spark.sparkContext.broadcast((sizes, radii))
-    ask = clean(queries, vec_id, embedding).where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))
+    ask = cut(one(clean(queries, vec_id, embedding)).withColumn("key", F.min("vec_id").over(same)))
 
     def route(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = visited(shared.value, q, *limits.value, k)
         return c, np.zeros(len(c))
 
-    routed = _listed(ask.select("key", "v").dropDuplicates(["key"]), route)
+    routed = _listed(ask.where("vec_id = key").select("key", "v"), route)
     long = spark.createDataFrame([(r["list"], -(-r["n"] // SLICE)) for r in held], "list bigint, slices int")
-    post = posts.join(F.broadcast(long), "list").select("list", F.pmod("key", "slices").cast("int").alias("slice"), F.lit(0).alias("kind"), "key", "v")  # at most MOST_LISTS rows
+    post = posts.join(F.broadcast(long), "list").select("list", F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slice"), F.lit(0).alias("kind"), "key", "v")  # at most MOST_LISTS rows
     visit = routed.join(F.broadcast(long), "list").select("list", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(1).alias("kind"), "key", "v")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in groups(batches, ["list", "slice"]):
-            p = [r for r in held if r["kind"] == 0]
-            if not p:
+        now, held, names, x = None, [], [], None  # the vectors of one slice; its queries stream by
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, names = np.array([r["v"] for r in p]), np.array([r["key"] for r in p])
-            out: tuple[list, list, list] = ([], [], [])
-            for q in (r for r in held if r["kind"] == 1):
-                d = np.sqrt(((x - np.array(q["v"])) ** 2).sum(1))
-                # all ties of the last place stay, so the final order by id is exact
-                last = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                pick = np.flatnonzero(d <= last)
-                out[0].extend([q["key"]] * len(pick))
-                out[1].extend(names[pick].tolist())
-                out[2].extend(d[pick].tolist())
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "key", "score"])
+            at, part, kind, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "slice", "kind", "key"))
+            v = _batch(batch, "v")
+            ends = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]), [True]]))
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if now != (at[s], part[s]):
+                    now, held, names, x = (at[s], part[s]), [], [], None
+                own = kind[s:e] == 0
+                if own.any():
+                    held.append(v[s:e][own])
+                    names.append(key[s:e][own])
+                if own.all() or not held:
+                    continue
+                if x is None:
+                    x, label = np.concatenate(held), np.concatenate(names)
+                    norm = (x * x).sum(1)
+                q, asked = v[s:e][~own], key[s:e][~own]
+                out: tuple[list, list, list] = ([], [], [])
+                for i in range(0, len(q), 256):
+                    # squared distances by a product pick who is measured exactly; their rounding error is far below the slack
+                    own_norm = (q[i : i + 256] ** 2).sum(1)
+                    d = norm - 2 * q[i : i + 256] @ x.T + own_norm[:, None]
+                    last = np.partition(d, k, 1)[:, k] if len(x) > k + 1 else np.full(len(d), np.inf)
+                    last = last + 1e-9 * (own_norm + norm.max())
+                    for j in range(len(d)):
+                        pick = np.flatnonzero(d[j] <= last[j])
+                        exact = np.sqrt(((x[pick] - q[i + j]) ** 2).sum(1))
+                        # all ties of the last place stay, so the final order by id is exact
+                        good = exact <= np.partition(exact, k)[k] if len(exact) > k + 1 else np.ones(len(exact), bool)
+                        out[0].append(np.full(good.sum(), asked[i + j]))
+                        out[1].append(label[pick[good]])
+                        out[2].append(exact[good])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["q", "key", "score"])
 
     found = post.union(visit).repartition("list", "slice").sortWithinPartitions("list", "slice", "kind").mapInArrow(nearest, "q bigint, key bigint, score double")
     # A vector found in several lists counts once; k + 1 vectors suffice, as a query's own vector is one of them.
@@ -224,14 +245,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     best = best.withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy("score"))).where(F.col("_r") <= k + 1).drop("_r")
     named = best.join(ids.select("key", "vec_id"), "key").select("q", "vec_id", "score")
     top = cut(named.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("_r") <= k + 1).drop("_r"))
-    pairs = ask.select(F.col("vec_id").alias("query_id"), F.col("key").alias("q")).dropDuplicates(["query_id"]).join(top, "q").where("query_id <> vec_id")
+    pairs = spread_join(ask.select(F.col("vec_id").alias("query_id"), F.col("key").alias("q")), top, "q", ask.count()).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def brute(rows: list[tuple], k: int = 10) -> list[tuple]:
     """The exact answer by all distances, for tests."""
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and np.any(v)}
+    good: dict[int, np.ndarray] = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and np.any(v) and (i not in good or list(v) < good[i].tolist()):
+            good[i] = np.array(v, float)
     out = []
     for q in sorted(i for i in good if i % 100 == 0):
         near = sorted((float(np.sqrt(((v - good[q]) ** 2).sum())), i) for i, v in good.items() if i != q)[:k]

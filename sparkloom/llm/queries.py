@@ -18,7 +18,7 @@ from .common import table
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+    return op1.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "capture")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_warc_index_merge": f"""
-        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, page_id + {op1.EPOCH} AS ts FROM pages),
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, greatest(-{op1.EPOCH}, least({op1.LAST} - {op1.EPOCH}, page_id)) + {op1.EPOCH} AS ts FROM pages),
         k AS (SELECT *, octet_length(encode(h)) AS n, sha256(h) AS d, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS r FROM p),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS m, regexp_replace(regexp_replace(lower(regexp_extract(r, '^[^/]*')), ':[0-9]+$', ''), '^www[.]', '') AS host,
               regexp_extract(r, '^[^/]*/(.*)$', 1) AS path FROM k)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+        SELECT *, row_number() OVER (PARTITION BY urlkey ORDER BY ts, page_id) AS capture FROM (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to,
-               CASE WHEN r = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' || path END AS urlkey, ts FROM f
+               CASE WHEN r = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' || path END AS urlkey, ts FROM f)
     """,
     "op10_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -268,6 +268,20 @@ def test_warc_round_trip(spark):
     assert op1_warc.captures(df.limit(0)).count() == 0
 
 
+def test_warc_times_and_histories(spark, monkeypatch):
+    monkeypatch.setattr(op1_warc, "RANGE_ROWS", 20)
+    rows = [(i, "http://a.org/p" if i % 3 else f"http://b.org/{i}", "x") for i in range(300)] + [(10**15, "http://a.org/p", "x"), (-(10**15), "http://a.org/p", "x"), (2**62, None, None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = op1_warc.captures(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["page_id"]: r["ts"] for r in got} == {i: max(0, min(op1_warc.LAST, i + op1_warc.EPOCH)) for i, _, _ in rows}
+    hot = sorted((r["ts"], r["page_id"], r["capture"]) for r in got if r["urlkey"] == "org,a)/p")
+    assert [c for _, _, c in hot] == list(range(1, 203)) and len({r["range"] for r in got if r["urlkey"] == "org,a)/p"}) > 1
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in (0, 1, 2, 3, 5, 8, 13):
@@ -296,6 +310,15 @@ def test_nearest_counts_repeated_rows_once(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = sorted(tuple(r) for r in op9_ann.search(df, df.where("vec_id % 100 = 0")).collect())
     assert got == op9_ann.brute(rows) and {r[2] for r in got if r[0] == 0} == {*range(1, 9), 100}
+    rows = [(5, near)] * 12 + [(6, near), (100, far), (100, near), (200, far)]  # an id with two vectors counts with the smaller
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in op9_ann.search(df, df.where("vec_id % 100 = 0")).collect()) == op9_ann.brute(rows)
+
+
+def test_nearest_of_many_ties(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in op9_ann.search(df, df.where("vec_id % 100 = 0")).collect()) == op9_ann.brute(rows)
 
 
 def test_lists_visited_grow_with_the_lists():
