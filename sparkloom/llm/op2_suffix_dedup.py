@@ -493,7 +493,8 @@ def _text(raw: bytes, gone: np.ndarray) -> str:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, then _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left)."""
+    """All columns of docs, then _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left), in place of columns of those names."""
+    docs = docs.drop("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept")
     columns, names = list(docs.columns), (doc_id, text)
     blocks = cut(_blocks(docs, text))
     buckets = max(4 * parts(docs.sparkSession), blocks.count() * BLOCK_BYTES // BUCKET_BYTES)

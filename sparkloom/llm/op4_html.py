@@ -41,7 +41,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template noscript iframe svg textarea title".split())
 #: Parts of class, id and role that mark an element as no main text.
 _MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo|cookies?|consent|gdpr|notice|menu|nav\w*|breadcrumbs?|sidebar|footer|masthead|header|comments?|disqus|respond|replies|share|social|related|newsletter|subscribe|signup|login|search|popup|modal|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_EDGE = re.compile(r"[>\"']")
+#: Elements that a start tag of the key's kind closes, if they are the innermost one that is open.
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Ranges for each shuffle partition, and keys sampled for each range to set the bounds.
@@ -49,8 +52,38 @@ RANGES, PER_RANGE = 4, 8
 _KEY = ["_host", "_path", "page_id", "_hash"]
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag, comment or declaration (name empty), in time linear in the page."""
+    at, open_quotes = 0, {'"', "'"}  # quotes of which another one follows
+    while tag := _OPEN.search(page, at):
+        start, at = tag.span()
+        if not tag[2]:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(tag[0], ">")
+            end = page.find(close, at)
+            at = len(page) if end < 0 else end + len(close)
+            yield start, at, "", "", ""
+            continue
+        began = at
+        while edge := _EDGE.search(page, at):
+            at = edge.end()
+            if edge[0] == ">":
+                break
+            if edge[0] in open_quotes:
+                end = page.find(edge[0], at)
+                if end < 0:  # an unclosed quote is a character like any other
+                    open_quotes.discard(edge[0])
+                else:
+                    at = end + 1
+        else:
+            return
+        yield start, at, tag[1], tag[2].lower(), page[began : at - 1]
+
+
 def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """Blocks of text outside noise elements, in page order, each with whether it stands in article or main."""
+    """Blocks of text outside noise elements, in page order, each with whether it stands in article or main.
+
+    A paragraph ends where a block starts, a list item, cell or term where the next one does.
+    """
     page = page or ""
     out: list[tuple[str, bool]] = []
     piece: list[str] = []
@@ -63,20 +96,17 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         if text:
             out.append((text, held > 0))
 
-    while at < len(page):
-        tag = _TAG.search(page, at)
-        stop = tag.start() if tag else len(page)
-        if not noise and stop > at:
-            piece.append(page[at:stop])
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+    for start, stop, slash, name, attributes in tags(page):
+        if start < at:  # inside a raw element
+            continue
+        if not noise and start > at:
+            piece.append(page[at:start])
+        at = stop
         if not name:
             continue
         if name in BLOCK:
             end()
-        if tag[1]:
+        if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     for n, bad in stack[i:]:
@@ -84,10 +114,11 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                         held -= n in ("article", "main")
                     del stack[i:]
                     break
-        elif name not in VOID and not tag[3].endswith("/"):
-            inside = held > 0
-            marked = any(_MARK.search(x.strip("\"'")) for x in _ATTR.findall(tag[3])) if name in BLOCK and name not in ("html", "body", "article", "main") else False
-            bad = name in NOISE or marked or (name == "header" and not inside)
+        elif name not in VOID and not attributes.endswith("/"):
+            while stack and (stack[-1][0] == "p" and name in BLOCK or stack[-1][0] in _CLOSES.get(name, ())):
+                noise -= stack.pop()[1]
+            marked = any(_MARK.search(x.strip("\"'")) for x in _ATTR.findall(attributes)) if name in BLOCK and name not in ("html", "body", "article", "main") else False
+            bad = name in NOISE or marked or (name == "header" and not held)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
@@ -95,10 +126,32 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                 stack.append((name, bad))
                 noise += bad
                 held += name in ("article", "main")
+    if not noise and at < len(page):
+        piece.append(page[at:])
     end()
     return out
 
 
+def _lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Length of a longest common subsequence of p with each prefix of q; one row is held."""
+    best = np.zeros(len(q) + 1, np.int32)
+    for x in p:
+        take = np.where(q == x, best[:-1] + 1, 0)
+        best[1:] = np.maximum.accumulate(np.maximum(take, best[1:]))
+    return best
+
+
+def common_places(p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Places in p of a longest common subsequence with q, in memory linear in both: p is halved and q cut where the halves' lengths add up to most."""
+    if not len(p) or not len(q):
+        return []
+    if len(p) == 1:
+        return [0] if (q == p[0]).any() else []
+    half = len(p) // 2
+    cut_ = int(np.argmax(_lengths(p[:half], q) + _lengths(p[half:][::-1], q[::-1])[::-1]))
+    return common_places(p[:half], q[:cut_]) + [half + i for i in common_places(p[half:], q[cut_:])]
+
+
 def shared(mine: list[str], other: list[str]) -> list[bool]:
     """Which of my lines lie on a longest common subsequence with the other's."""
     out = [False] * len(mine)
@@ -117,19 +170,8 @@ def shared(mine: list[str], other: list[str]) -> list[bool]:
         return out
     ids = {t: i for i, t in enumerate(both)}
     p, q = np.array([ids[x[i]] for i in xi]), np.array([ids[t] for t in y])
-    best = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-    for i in range(len(p) - 1, -1, -1):
-        take = np.where(q == p[i], best[i + 1, 1:] + 1, 0)
-        best[i, :-1] = np.maximum.accumulate(np.maximum(take, best[i + 1, :-1])[::-1])[::-1]
-    i = j = 0
-    while i < len(p) and j < len(q):
-        if p[i] == q[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out[a + xi[i]] = True
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    for i in common_places(p, q):
+        out[a + xi[i]] = True
     return out
 
 

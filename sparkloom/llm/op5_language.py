@@ -6,9 +6,10 @@ with, and a prior from its host. Host priors are counts of all pages by grouped
 aggregation, smoothed from host to registered domain to all pages. In log space
 the four terms add up; the posterior is their softmax.
 
-The trigram models (a table of _BUCKETS rows, broadcast) are fitted on at most
-MOST_ROWS documents a language, chosen by hash. Every page is counted in the
-priors. Null or empty html has no text evidence and falls back on address and
+The trigram models (a table of _BUCKETS rows and one column a language, broadcast)
+are fitted on about MOST_ROWS documents a language, chosen by a bound on hashes, and
+counted in tasks. Every language that documents name has a model, so the table grows
+with their number alone. Every page is counted in the priors. Null or empty html has no text evidence and falls back on address and
 host; a null URL has the empty host. Repeated rows count each.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices
+from .common import cut, row_slices, spread_join
 from .op4_html import blocks
 
 MOST_ROWS = 600
@@ -45,11 +46,26 @@ def _grams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, most: int = MOST_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of the trigram buckets in each."""
-    langs = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = [r["lang"] for r in docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang")).distinct().orderBy("lang").collect()]
+    share = F.broadcast(sizes)  # one row a language
+    some = rows.join(share, "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(most << 30)).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held = total.setdefault(lang, np.zeros(_BUCKETS, np.int64))
+                held += np.bincount(_grams(t), minlength=_BUCKETS)
+        for lang, held in total.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["lang", "bucket", "n"])
+
     counts = np.full((_BUCKETS, max(1, len(langs))), 0.05)
-    for i, lang in enumerate(langs):
-        for r in docs.where((F.col("lang") == lang) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(most).toLocalIterator():
-            counts[:, i] += np.bincount(_grams(r["text"]), minlength=_BUCKETS)
+    found = some.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # at most _BUCKETS rows a language
+        counts[r["bucket"], langs.index(r["lang"])] += r["n"]
     return langs, np.log(counts / counts.sum(0))
 
 
@@ -106,7 +122,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domain = lambda i: (F.col(f"d{i}") + ALL_PAGES * mean(i)) / (F.col("dn") + ALL_PAGES)
     prior = [((F.col(f"h{i}") + DOMAIN_PAGES * domain(i)) / (F.col("n") + DOMAIN_PAGES)) for i in range(k)]
     priors = hosts.join(domains, "domain").join(F.broadcast(whole)).select("host", F.array(*[F.log(p) for p in prior]).alias("prior"))  # whole: one row
-    fused = seen.join(priors, "host").withColumn("f", F.zip_with("e", "prior", lambda a, b: a + b))
+    fused = spread_join(seen, priors, "host", seen.count(), by=["page_id"]).withColumn("f", F.zip_with("e", "prior", lambda a, b: a + b))
     fused = fused.withColumn("best", F.array_max("f")).withColumn("f", F.transform("f", lambda x: x - F.col("best")))
     posterior = F.array(*_soft(F.col("f"), k))
     names = F.array(*[F.lit(x) for x in langs or ["und"]])

@@ -6,8 +6,9 @@
 3. Expectation-maximisation on the counts, weighted, so every document has its
    part: a prior and each labeller's rates of the votes under good and bad.
 4. Each pattern has a posterior; documents take it by their pattern.
-5. A logistic scorer on hashed word features learns from the posteriors of at most
-   MOST_ROWS documents, chosen by hash, and scores every whole text.
+5. A logistic scorer on hashed word features learns from the posteriors of about
+   MOST_ROWS documents, chosen by a bound on hashes, and scores every whole text; the
+   weight of a word is looked up once for each distinct word.
 
 Null and empty texts are bad by the length labeller and score by the bias alone.
 Repeated rows count each and score alike. An empty table gives an empty result.
@@ -75,23 +76,28 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
     return good, right
 
 
+def word_features(word: str) -> list[tuple[int, float]]:
+    """Hashed word and word shape, each with a sign."""
+    shape = ("U" if word.isupper() else "l" if word.islower() else "C" if word[0].isupper() else "x") + str(min(len(word), 12)) + ("" if word[-1].isalnum() else word[-1])
+    hashes = [crc32(f.encode("utf-8", "replace")) for f in (word.lower(), "\x01" + shape)]
+    return [(h >> (32 - _BITS), 1.0 if h & 1 else -1.0) for h in hashes]
+
+
 def features(text: str) -> dict[int, float]:
-    """Hashed words and word shapes, by share of the text."""
+    """Sum of the words' features over the root of their number."""
     out: dict[int, float] = {}
-    low = text.split()
-    for w in low:
-        shape = ("U" if w.isupper() else "l" if w.islower() else "C" if w[0].isupper() else "x") + str(min(len(w), 12)) + ("" if w[-1].isalnum() else w[-1])
-        for f in (w.lower(), "\x01" + shape):
-            h = crc32(f.encode("utf-8", "replace"))
-            out[h >> (32 - _BITS)] = out.get(h >> (32 - _BITS), 0.0) + (1.0 if h & 1 else -1.0)
-    n = max(1, len(low)) ** 0.5
+    words = text.split()
+    for w in words:
+        for k, x in word_features(w):
+            out[k] = out.get(k, 0.0) + x
+    n = max(1, len(words)) ** 0.5
     return {k: x / n for k, x in out.items()}
 
 
-def train(rows: list[tuple[str, float]], rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the bias) of the logistic scorer, by stochastic gradients over rows in a fixed order."""
+def train(rows: list[tuple[dict[int, float], float]], rounds: int = 30) -> np.ndarray:
+    """Weights (the last is the bias) of the logistic scorer, by stochastic gradients over rows of features in a fixed order."""
     w, total = np.zeros((1 << _BITS) + 1), np.full((1 << _BITS) + 1, 1e-3)
-    every = [(np.array(list(f), np.int64), np.array(list(f.values())), y) for f, y in ((features(t), y) for t, y in rows)]
+    every = [(np.array(list(f), np.int64), np.array(list(f.values())), y) for f, y in rows]
     for _ in range(rounds):
         for k, x, y in every:
             g = 1 / (1 + np.exp(-np.clip(w[k] @ x + w[-1], -30, 30))) - y
@@ -102,6 +108,19 @@ def train(rows: list[tuple[str, float]], rounds: int = 30) -> np.ndarray:
     return w
 
 
+class _Weights(dict):
+    """What a word adds to the margin, before division by the root of the number of words."""
+
+    def __init__(self, w: np.ndarray):
+        self.w = w.tolist()
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = x = sum(self.w[k] * sign for k, sign in word_features(word))
+        return x
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, weak (posterior of the votes), score, predicted of every document."""
     voted = votes(docs)
@@ -109,18 +128,26 @@ def score(docs: DataFrame) -> DataFrame:
     patterns = [r["votes"] for r in table]
     good, _ = expectation_maximisation(patterns, np.array([r["n"] for r in table], float))
     of = dict(zip(patterns, good.tolist(), strict=True))
-    sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "votes").limit(MOST_ROWS)
-    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], of[r["votes"]]) for r in sample.toLocalIterator()), key=lambda r: r[:3])
-    shared = docs.sparkSession.sparkContext.broadcast((of, train([r[2:] for r in rows])))
+    total = sum(r["n"] for r in table)
+    near = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MOST_ROWS / max(1, total)))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("votes"), pa.array([list(x) for x in f], pa.list_(pa.int32())), pa.array([list(x.values()) for x in f], pa.list_(pa.float64()))], names=["id", "votes", "k", "x"])
+
+    # Votes are computed for the sampled documents only, features in tasks; what comes to the driver is a sparse row a document.
+    sample = votes(docs.where(near)).mapInArrow(reduced, "id string, votes string, k array<int>, x array<double>").collect()
+    rows = sorted(((r["id"] or "", r["votes"], r["k"], r["x"]) for r in sample))
+    shared = docs.sparkSession.sparkContext.broadcast((of, train([(dict(zip(k, x, strict=True)), of[v]) for _, v, k, x in rows])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, w = shared.value
+        known = _Weights(w)
         for batch in batches:
             for piece in row_slices(batch, "text", 4 << 20):
-                margin = []
-                for t in piece.column("text").to_pylist():
-                    f = features(t)
-                    margin.append(w[np.array(list(f), np.int64)] @ np.array(list(f.values())) + w[-1] if f else w[-1])
+                words = [t.split() for t in piece.column("text").to_pylist()]
+                margin = [sum(map(known.__getitem__, x)) / max(1, len(x)) ** 0.5 + w[-1] for x in words]
                 p = 1 / (1 + np.exp(-np.clip(np.array(margin, float), -30, 30)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([weak[v] for v in piece.column("votes").to_pylist()], pa.float64()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "weak", "score", "predicted"])
 

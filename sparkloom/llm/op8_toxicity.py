@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import row_slices, sealed
 
 MOST_ROWS = 4000
 LANDMARKS = 128
@@ -79,7 +79,8 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.array([i for i, _ in parts], np.int64)
     size = np.array([len(p) for _, p in parts], np.int64)
     text = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where((text >= 97) & (text <= 122), text - 96, np.where(text == 2, 0, np.where((text >= 48) & (text <= 57), 31, 27 + text % 4)))
+    # Seven bits a character: letters of ASCII, digits as one, all others by a hash of the code point.
+    code = np.where((text >= 97) & (text <= 122), text - 96, np.where(text == 2, 0, np.where((text >= 48) & (text <= 57), 27, 28 + (text * 0x9E3779B1 >> 7) % 100)))
     begin = np.cumsum(size) - size
     part = np.repeat(np.arange(len(size)), size)
     left = np.repeat(begin + size, size) - np.arange(len(code))  # characters from here to the end of the part
@@ -87,7 +88,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, j, k in _GAPS:
         at = np.flatnonzero(left > k)
         whose.append(owner[part[at]])
-        key = (code[at] << 15) | (code[at + i] << 10) | (code[at + j] << 5) | code[at + k]
+        key = (code[at] << 21) | (code[at + i] << 14) | (code[at + j] << 7) | code[at + k]
         what.append(((key * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - _BITS))
         value.append(np.full(len(at), DECAY ** (k - 3)))
     whose, what, value = map(np.concatenate, (whose, what, value))
@@ -157,12 +158,21 @@ def _evidence(a: int, b: int, n: int, m: int) -> float:
     return a * np.log(a / n / p) + (b * np.log(b / m / p) if b else 0.0)
 
 
+def bag(text: str | None) -> list[str]:
+    """The distinct words of a text's sentences."""
+    return sorted({w for s in sentence_words(text) for w in s})
+
+
 def train(rows: list[tuple[str | None, int]], share: float | None = None, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
-    """Model from (text, label) rows; share: of toxic rows where the sample comes from.
+    """Model from (text, label) rows."""
+    return train_bags([(bag(t), int(y)) for t, y in rows if y is not None], share, landmarks, seed)
+
+
+def train_bags(rows: list[tuple[list[str], int]], share: float | None = None, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
+    """Model from (words, label) rows; share: of toxic rows where the sample comes from.
 
     Every fourth row is kept from the machine and sets the line to probabilities.
     """
-    rows = [(t, int(y)) for t, y in rows if y is not None]
     toxic = sum(y for _, y in rows)
     own = toxic / len(rows) if rows else 0.0
     share = max(1e-3, min(0.49, own if share is None else share))
@@ -171,7 +181,7 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
         return flat
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
-    every = [(sorted({w for s in sentence_words(t) for w in s}), y) for t, y in rows]
+    every = rows
     bags, aside = ([b for i, b in enumerate(every) if (i % 4 == 3) == side] for side in (False, True))
     if len({y for _, y in bags}) < 2 or len({y for _, y in aside}) < 2:
         bags = aside = every
@@ -200,7 +210,7 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
         pos, neg = sorted(often), list(dict.fromkeys([*hard, *clean[:CLEAN_WORDS]]))
         x = similarities(pos + neg, basis) @ root
         w, b = _svm(x, np.r_[np.ones(len(pos)), -np.ones(len(neg))], np.r_[[often[p] for p in pos], np.ones(len(neg))])
-        model = Model(basis.T.astype(np.float64) @ (root @ w), b, 1.0, 0.0, share)
+        model = Model(((root @ w).astype(np.float32) @ basis).astype(np.float64), b, 1.0, 0.0, share)
         margin = np.concatenate([model.margins(clean[i : i + 20_000]) for i in range(0, len(clean), 20_000)])
         hard = list(dict.fromkeys([*hard, *(clean[i] for i in np.argsort(-margin, kind="stable")[:1500] if margin[i] > -0.8)]))
         named = set(clean)
@@ -235,26 +245,34 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None, landma
     return model
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Trained on labelled rows whose crc32 of the id isn't 0 modulo 5: `most` of them at most, half of each label, the first by hash."""
     rows = labels.select(F.col("doc_id").alias("_l"), F.col("toxic").alias("_y")).where("_y in (0, 1) and _l is not null and crc32(cast(_l as string)) % 5 <> 0")
     first = lambda y: rows.where(F.col("_y") == y).orderBy(F.xxhash64("_l"), "_l").limit(most // 2)
-    joined = docs.select("doc_id", "text").join(F.broadcast(first(0).union(first(1))), F.expr("doc_id = _l")).select("doc_id", "text", "_y")
-    sample = sorted(((r["doc_id"], r["text"] or "", r["_y"]) for r in joined.toLocalIterator()), key=lambda r: r[:2])
-    return train([(t, y) for _, t, y in sample], rows.agg(F.avg("_y")).first()[0] or 0.0)
+    joined = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(first(0).union(first(1))), F.expr("d = _l")).select("d", "t", "_y")  # at most `most` ids
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in row_slices(batch, "t", 4 << 20):
+                words = [" ".join(bag(t)) for t in piece.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("d").cast(pa.int64()), pa.array(words, pa.string()), piece.column("_y").cast(pa.int32())], names=["d", "words", "y"])
+
+    found = sorted(tuple(r) for r in joined.mapInArrow(bags, "d bigint, words string, y int").collect())
+    return train_bags([(w.split(" ") if w else [], y) for _, w, y in found], rows.agg(F.avg("_y")).first()[0] or 0.0)
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and _score."""
+
+def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of docs and _score, in place of a column of that name."""
+    docs = docs.drop("_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         for batch in batches:
-            for piece in row_slices(batch, "text", 2 << 20):
-                bags = [all_words(t) for t in piece.column("text").to_pylist()]
+            for piece in row_slices(batch, text, 2 << 20):
+                bags = [all_words(t) for t in piece.column(text).to_pylist()]
                 fresh = list(set().union(*bags).difference(known))
-                if len(known) + len(fresh) > 400_000:
+                if len(known) + len(fresh) > 200_000:
                     known, fresh = {}, list(set().union(*bags))
                 for i in range(0, len(fresh), 20_000):
                     known.update(zip(fresh[i : i + 20_000], m.margins(fresh[i : i + 20_000]).tolist(), strict=True))
@@ -272,6 +290,9 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scores(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under a half, with all their columns."""
-    return scores(docs, fitted(docs, labels)).where("_score < 0.5").drop("_score")
+def remove_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that score under a half, with all their columns, whatever their names."""
+    rows, names = sealed(docs)
+    model = fitted(rows, labels, doc_id=names[doc_id], text=names[text])
+    return scores(rows, model, names[text]).where("_score < 0.5").drop("_score").toDF(*docs.columns)
+

@@ -1,13 +1,18 @@
 """The corpus operators against brute force, round trips and held-out labels, with odd rows in every table."""
 
 import hashlib
+import itertools
 import os
 import random
+import re
+import time
+import tracemalloc
 from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common, op1_warc, op2_suffix_dedup, op3_mixing, op4_html, op5_language, op6_quality, op7_minhash, op8_toxicity, op9_ann, op10_decontaminate
@@ -409,3 +414,155 @@ def test_tidy_removes_checkpoints(spark):
         assert common.cut(spark.range(3)).count() == 3
         held = list(common._HELD[-1])
     assert len(held) == 1 and not os.path.exists(held[0].removeprefix("file:"))
+
+
+def brute_html(rows):
+    """Texts by sorting each host's pages and walking to the nearest page that holds another article."""
+    keyed = []
+    for page, url, html in rows:
+        rest = re.sub(r"[?#].*$", "", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url or ""), flags=re.S)
+        host, path = re.match(r"[^/]*", rest)[0].lower(), re.sub(r"^[^/]*", "", rest)
+        keyed.append((host, path, page, op4_html.blocks(html)))
+    out = {}
+    for host in {k[0] for k in keyed}:
+        line = [k for k in sorted(keyed, key=lambda k: k[:3]) if k[0] == host]
+        for i, (_, _, page, mine) in enumerate(line):
+            others = [k[3] for k in [*reversed(line[:i]), *line[i + 1 :]] if k[3] and op4_html.core(k[3]) != op4_html.core(mine)]
+            before = [o for o in others if host and mine][:1]
+            out[page] = op4_html.main_text(mine, before[0] if before else None)
+    return out
+
+
+def test_html_equals_brute_force(spark):
+    rng = random.Random(12)
+    line = lambda: f"<p>{rng.choice('abcdefghij') * 3}</p>"
+    rows = [(i, rng.choice([None, "", f"https://{rng.choice('xy')}.org/{rng.choice(['d/', '', 'e/f/'])}{rng.randrange(30)}"]), rng.choice(["", "<main>", "<nav>n</nav>"]) + "".join(line() for _ in range(rng.randrange(5)))) for i in range(150)]
+    got = {r["page_id"]: r["text"] for r in op4_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert got == brute_html(rows)
+
+
+def test_html_blocks_of_odd_markup():
+    text = lambda page: [t for t, _ in op4_html.blocks(page)]
+    assert text('<article><p class="notice">ad<p>real text<p>more</article>') == ["real text", "more"]
+    assert text('<ul><li class="ad">x<li>y</ul><dl><dt class="menu">a<dd>b</dl>') == ["y", "b"]
+    assert text("<p>1 < 2 <b>&amp;</b> 3<!-- c --> <a href='x>y'>z</a>") == ["1 < 2 & 3 z"]
+    assert text("<script>var x = '<p>';</script>t<textarea><p>u</textarea>") == ["t"]
+    began = time.perf_counter()
+    op4_html.blocks('<a href="x>' * 40_000)
+    op4_html.blocks("<a b='" * 40_001)
+    op4_html.blocks("<!-- " * 40_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_differencing_of_many_lines_holds_rows_only():
+    a, b = [str(i % 3000) for i in range(6000)], [str(i * 7 % 3000) for i in range(6000)]
+    tracemalloc.start()
+    op4_html.shared(a[:3000], b[:3000])
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_scorer_adds_up_words():
+    w = np.random.default_rng(1).normal(size=(1 << 14) + 1)
+    known = op6_quality._Weights(w)
+    for t in ("", "One two, TWO x1", "a " * 50):
+        words = t.split()
+        want = sum(w[k] * x for k, x in op6_quality.features(t).items())
+        assert abs(sum(map(known.__getitem__, words)) / max(1, len(words)) ** 0.5 - want) < 1e-9
+
+
+def test_quality_equals_brute_force(spark, docs, rows):
+    """Every vote by plain Python, the posterior of its pattern, the margin by summed features."""
+    got = {r["doc_id"]: r for r in op6_quality.score(docs).collect()}
+    share = lambda t, p: len(regex.findall(p, t)) / max(1, len(t))
+    vote = lambda bad, good: "0" if bad else "1" if good else "2"
+    patterns = {}
+    for i, t in rows:
+        t = t or ""
+        n, k, lines = len(re.findall(r"[^ \t\n\x0b\f\r]+", t)), r"[#$%&*|<>{}\[\]=~^\\_@]", t.split("\n")
+        d, m = len(set(lines)) / len(lines), len(t) / max(1, n)
+        patterns[i] = "".join([
+            vote(n < 20, n > 80), vote(share(t, k) > 0.02, share(t, k) < 0.002), vote(share(t, r"\p{Lu}") > 0.25, share(t, r"\p{Lu}") < 0.08),
+            vote(share(t, "[.?!]") < 0.002, 0.004 <= share(t, "[.?!]") <= 0.05), vote(len(lines) > 3 and d < 0.7, d > 0.95), vote(m < 3 or m > 12, 4 <= m <= 8), vote(share(t, "!") > 0.01, share(t, "!") == 0),
+        ])
+    names, counts = np.unique(list(patterns.values()), return_counts=True)
+    good, _ = op6_quality.expectation_maximisation(names.tolist(), counts.astype(float))
+    of = dict(zip(names.tolist(), good.tolist(), strict=True))
+    w = op6_quality.train([(f, y) for _, _, f, y in sorted((str(i), patterns[i], op6_quality.features(t or ""), of[patterns[i]]) for i, t in rows)])
+    for i, t in rows:
+        z = sum(w[k] * x for k, x in op6_quality.features(t or "").items()) + w[-1]
+        assert abs(got[i]["weak"] - of[patterns[i]]) < 1e-9 and abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_scores_equal_the_kernel_written_out():
+    rows = [(f"calm text number {i} about trees rivers and stones", 0) for i in range(60)] + [(f"calm text number {i} you moronic idiot", 1) for i in range(60)]
+    m = op8_toxicity.train(rows, 0.1)
+
+    def margin(word):
+        """Sum over all four-character subsequences within a span, gaps discounted, of the machine's weights."""
+        total, norm = 0.0, 0.0
+        for part in op8_toxicity._pieces(word):
+            p = "\x02" + part
+            for q in itertools.combinations(range(len(p)), 4):
+                if q[3] - q[0] < op8_toxicity.SPREAD:
+                    x = op8_toxicity.DECAY ** (q[3] - q[0] - 3)
+                    total, norm = total + x * m.weights[hashed("".join(p[i] for i in q))], norm + x * x
+        return total / max(norm**0.5, 1e-9) + m.bias
+
+    def hashed(four):
+        code = [0 if c == "\x02" else ord(c) - 96 if "a" <= c <= "z" else 27 if "0" <= c <= "9" else 28 + (ord(c) * 0x9E3779B1 >> 7) % 100 for c in four]
+        key = code[0] << 21 | code[1] << 14 | code[2] << 7 | code[3]
+        return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - op8_toxicity._BITS)
+
+    for w in ("idiot", "i.d.i.o.t", "naïve7", "ab", "идиот", "x" * 45):
+        assert abs(m.margins([w])[0] - margin(w)) < 1e-9
+    one, two = op8_toxicity.dense(["идиот", "рмхфц"])
+    assert one @ two < 0.05
+
+
+def test_toxicity_of_an_empty_table(spark, nothing):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert op8_toxicity.digest(nothing, labels).count() == 0 and op8_toxicity.remove_toxic(nothing, labels).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_score", "_m", "_kept", "_n_removed", "_gone", "key", "n", "c0", "score", "text", "doc_id"]
+    df = spark.createDataFrame([(*range(9), "some text here", 1), (*range(9), None, None)], ", ".join(f"`{n}` {'string' if n == 'text' else 'bigint'}" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "other words")], "item_id bigint, text string")
+    for out in (op8_toxicity.remove_toxic(df, labels), op7_minhash.keep_one(df), op10_decontaminate.remove_contaminated(df, bench)):
+        assert out.columns == names and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert op2_suffix_dedup.remove_repeats(df).count() == 2
+
+
+def test_language_equals_brute_force(spark):
+    """Posteriors by plain loops over pages, from the same trigram table."""
+    docs = spark.createDataFrame([(i, f"the cat and the dog number {i} of them", "en") for i in range(20)] + [(100 + i, f"die katze und der hund nummer {i} von denen", "de") for i in range(20)], "doc_id bigint, text string, lang string")
+    rows = [(1, "http://a.de/x", "<html lang=en><p>the cat and the dog</p>"), (2, "http://a.de/y", "<p>die katze</p>"), (3, None, None), (4, "http://b.a.de/en/x", ""), (4, "http://b.a.de/en/x", ""), (5, "http://c.org", "<p>und der hund</p>")]
+    langs, table = op5_language.fit(docs)
+    assert langs == ["de", "en"]
+
+    def told(lang, trust):
+        return np.array([np.log(trust) if x == lang else np.log(1 - trust) for x in langs]) if lang in langs else np.zeros(2)
+
+    soft = lambda e: np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    seen = []
+    for page, url, html in rows:
+        rest = re.sub(r"^\w+://", "", url or "")
+        host, first = re.match(r"[^/]*", rest)[0], (re.match(r"[^/]*/([a-z]{2})/", rest) or ["", ""])[1]
+        g = op5_language._grams(" ".join(t for t, _ in op4_html.blocks(html)))
+        e = table[g].sum(0) * op5_language.TEMPER * min(1.0, op5_language.MOST_GRAMS / max(1, len(g)))
+        lang = re.search(r"lang=(\w\w)", html or "")
+        e = e + told(lang and lang[1], op5_language.DECLARED) + told(first if first in langs else host.rpartition(".")[2], op5_language.ADDRESS)
+        seen.append((page, host, ".".join(host.split(".")[-2:]) if "." in host else "", e))
+    whole = (sum(soft(e) for *_, e in seen) + 1) / (len(seen) + 2)
+    want = []
+    for page, host, domain, e in seen:
+        d = [soft(x) for _, _, y, x in seen if y == domain]
+        h = [soft(x) for _, y, _, x in seen if y == host]
+        dom = (sum(d) + op5_language.ALL_PAGES * whole) / (len(d) + op5_language.ALL_PAGES)
+        prior = (sum(h) + op5_language.DOMAIN_PAGES * dom) / (len(h) + op5_language.DOMAIN_PAGES)
+        p = soft(e + np.log(prior))
+        want.append((page, langs[int(p.argmax())], round(float(p.max()), 5)))
+    got = op5_language.identify(spark.createDataFrame(rows, "page_id bigint, url string, html string"), docs)
+    assert sorted((r["page_id"], r["lang"], round(r["posterior"], 5)) for r in got.collect()) == sorted(want)
