@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import op2_suffix_dedup, op3_mixing, op7_minhash, op8_toxicity, op10_decontaminate
-from sparkloom.llm.common import scratch, table
+from sparkloom.llm.common import remove, scratch, sealed, table, tidy
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text that a document of smaller id has too (50 bytes or more) is cut out; no document goes."""
-    found = op2_suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    n = F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", n.cast("bigint")).select(*[f"`{c}`" for c in docs.columns])
+    rows, names = sealed(docs)
+    found, changed = op2_suffix_dedup.remove_repeats(rows, names["doc_id"], names["text"]), F.col("_n_removed") > 0
+    found = found.withColumn(names["text"], F.when(changed, F.col("_kept")).otherwise(F.col(names["text"])))
+    if "n_chars" in names:
+        kind = rows.schema[names["n_chars"]].dataType
+        found = found.withColumn(names["n_chars"], F.when(changed, F.length("_kept").cast(kind)).otherwise(F.col(names["n_chars"])))
+    return found.select(*names.values()).toDF(*docs.columns)
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents, each written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages in turn over documents, each written to the shared folder and read again.
+
+    When a stage is written, its checkpoints and its predecessor's table go.
+    """
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
