@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the shared folder."""
     scratch(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if _HELD:
-        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if file.isDefined():
-            _HELD[-1].append(file.get())
+    if _HELD and (file := checkpoint_file(out)):
+        _HELD[-1].append(file)
     return out
 
 
+def checkpoint_file(df: DataFrame) -> str | None:
+    """Where a DataFrame that `cut` returned lies."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,21 +71,28 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", by: list[str] | None = None, seen: DataFrame | None = None) -> DataFrame:
     """left.join(right, key) where one key may hold much of left; right has few rows a key.
 
-    total: rows of left, about. Keys of more than a 5,000th of them (1,000 at least) are
-    dealt over pieces by a hash of `by`, right's rows of such a key are repeated for each
-    piece. The list of these keys has at most 5,000 rows, so it is collected and broadcast.
+    total: rows of left, about. Keys of more than a 1,000th of them (1,000 rows at least)
+    are dealt over pieces by a hash of `by`, right's rows of such a key are repeated for
+    each piece. They are looked for without a shuffle, in at most about 50,000 keys of
+    `seen` (left, where it is a checkpoint or a narrow step from one) that the driver
+    counts; a key that the sample misses is joined undivided, so no row depends on it.
     """
-    most = max(1000, total // 5000)
+    most = max(1000, total // 1000)
     if total <= most:
         return left.join(right, key, how)
-    found = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > most) & F.col("_hot").isNotNull()).select("_hot", F.ceil(F.col("_n") / most).alias("_pieces"))
-    rows = found.collect()
+    some = seen if seen is not None else left
+    share = min(1.0, 50_000 / total)
+    if share < 1:
+        some = some.where(F.pmod(F.xxhash64(F.lit(3), *some.columns), F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = some.select(F.col(key).alias("_hot")).where(F.col("_hot").isNotNull())
+    found = Counter(r[0] for r in some.collect())  # about 50,000 keys
+    rows = [(k, -(-int(n / share) // most)) for k, n in found.items() if n > most * share]
     if not rows:
         return left.join(right, key, how)
-    hot = left.sparkSession.createDataFrame(rows, found.schema)
+    hot = left.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_hot", left.schema[key].dataType), T.StructField("_pieces", T.LongType())]))
     spread = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
     one = spread(left).withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*(by or left.columns)), "_pieces"), F.lit(0))).drop("_hot", "_pieces")
     two = spread(right).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_hot", "_pieces")

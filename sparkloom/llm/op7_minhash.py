@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, row_slices, sealed, spread_join
+from .common import checkpoint_file, cut, groups, remove, row_slices, sealed, spread_join
 
 BANDS, ROWS = 44, 6
 #: Share of equal minima below which a pair isn't confirmed: 0.8 less five standard deviations of the estimate.
@@ -140,8 +140,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = spread_join(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", n).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = cut(small.where("u <> v").distinct())
+        # What large-star leaves has few edges a node on this side: no key is hot.
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        old, now = now, cut(small.where("u <> v").distinct())
+        if file := checkpoint_file(old):
+            remove(edges.sparkSession, file)
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         n = mark[0]
         if mark == last:
@@ -157,7 +160,7 @@ def _alike(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and signatures allow the similarity."""
     one, two = (sig.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     n = pairs.count()
-    both = spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"]).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    both = spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"], seen=pairs).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -221,7 +224,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
     one, two = (full.select(F.col("doc_id").alias(x), F.col("full").alias(f"f{x}")) for x in "ab")
     n = pairs.count()
-    return spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"]).select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return spread_join(spread_join(pairs, one, "a", n, by=["b"]), two, "b", n, by=["a"], seen=pairs).select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _forest(members: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
@@ -281,12 +284,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comp = components(links)
     labelled = shared.join(comp, F.expr("rep = node"), "left").select("h", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    alike = cut(_forest(spread_join(labelled, mixed, "h", many).join(light, "rep"), "h", percent, False))
+    alike = cut(_forest(spread_join(labelled, mixed, "h", many, seen=shared).join(light, "rep"), "h", percent, False))
     if not alike.isEmpty():
         cluster = components(links.union(alike)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
         known = cluster.join(comp, F.expr("rep = node"), "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
         several = known.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster", "size")
-        members = cut(spread_join(known, several, "cluster", total))
+        members = cut(known.join(several, "cluster"))
         full = _full(members.select(F.col("rep").alias("doc_id")), plain, k).withColumnRenamed("doc_id", "rep")
         more = cut(_forest(members.join(light, "rep").join(full, "rep"), "cluster", percent, True))
         comp = components(links.union(more))
