@@ -88,7 +88,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: st
     if share < 1:
         some = some.where(F.pmod(F.xxhash64(F.lit(3), *some.columns), F.lit(1 << 20)) < int(share * (1 << 20)))
     some = some.select(F.col(key).alias("_hot")).where(F.col("_hot").isNotNull())
-    found = Counter(r[0] for r in some.collect())  # about 50,000 keys
+    found = Counter(bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in some.collect())  # about 50,000 keys
     rows = [(k, -(-int(n / share) // most)) for k, n in found.items() if n > most * share]
     if not rows:
         return left.join(right, key, how)

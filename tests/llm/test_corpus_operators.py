@@ -407,6 +407,8 @@ def test_a_join_with_a_hot_key(spark):
     got = sorted((r["k"], r["v"], r["w"]) for r in common.spread_join(left, right, "k", 3050).collect())
     assert got == sorted((r["k"], r["v"], r["w"]) for r in left.join(right, "k").select("k", "v", "w").collect())
     assert common.spread_join(left, right, "k", 3050, "left").count() == 3050
+    left, right = (df.withColumn("k", F.col("k").cast("string").cast("binary")) for df in (left, right))
+    assert common.spread_join(left, right, "k", 3050).count() == len(got)
 
 
 def test_tidy_removes_checkpoints(spark):
