@@ -62,3 +62,65 @@ def matches_glob(c: Column | str, glob: str) -> Column:
     import re
 
     return col(c).rlike("^" + "[^/]+".join(re.escape(p) for p in glob.split("*")) + "$")
+
+
+# Requests that carry no records, marks of a country's address, file types of policies.
+SKIPPED = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot|map)(\?|$)|/static/|/assets/|/_next/|/webpack|google-analytics|gtag|googletagmanager|facebook|pixel|hotjar|analytics|tracking|beacon|cdn\.|cloudflare|cloudfront|googleapis|gstatic|recaptcha|captcha|socket\.io|ws://"
+COUNTRY_MARKS = r"(?i)\bisrael\b|[?&](location|locations|country|region)=(israel|il)\b|/(locations?|regions?|countries)/israel\b|israelhome|\.co\.il(/|$)"
+POLICY_FILES = ["pdf", "docx", "doc"]
+
+
+def usable(c: Column | str) -> Column:
+    """Neither empty, nor an anchor, a script or the root."""
+    c = col(c)
+    return F.coalesce((F.length(c) > 0) & ~c.startswith("#") & ~c.startswith("javascript:") & (c != "/"), F.lit(False))
+
+
+def skipped(c: Column | str) -> Column:
+    return F.coalesce(col(c).rlike(SKIPPED), F.lit(False))
+
+
+def country_marked(c: Column | str) -> Column:
+    return F.coalesce(col(c).rlike(COUNTRY_MARKS), F.lit(False))
+
+
+def file_type(c: Column | str) -> Column:
+    """pdf, docx or doc by the path's end, else null."""
+    bare = F.lower(F.regexp_replace(col(c), r"[?#].*$", ""))
+    return F.coalesce(*[F.when(bare.endswith("." + t), t) for t in POLICY_FILES])
+
+
+def document_kind(c: Column | str) -> Column:
+    """What policy an address leads to, with the file type where it is one."""
+    low = F.lower(col(c))
+    kind = F.when(low.contains("privacy"), "privacy").when(low.contains("term") | low.contains("takanon"), "terms").when(low.contains("legal"), "legal").otherwise("unknown")
+    return F.concat_ws("_", kind, file_type(c))
+
+
+def same_host(a: Column | str, b: Column | str) -> Column:
+    """Equal hosts; a prefix of the text isn't enough."""
+    host = lambda x: F.lower(F.regexp_extract(col(x), r"(?i)^https?://([^/?#]+)", 1))
+    return F.coalesce((host(a) == host(b)) & (host(a) != ""), F.lit(False))
+
+
+def without_parameter(c: Column | str, name: str) -> Column:
+    """The address without one query parameter."""
+    bare = F.regexp_replace(col(c), rf"([?&]){name}=[^&#]*&?", "$1")
+    return F.regexp_replace(bare, r"[?&](#|$)", "$1")
+
+
+def with_parameter(c: Column | str, name: str, value: Column) -> Column:
+    """The address with one query parameter set, before any fragment."""
+    bare = without_parameter(c, name)
+    head, tail = F.regexp_replace(bare, r"#.*$", ""), F.regexp_extract(bare, r"(#.*)$", 1)
+    return F.concat(head, F.when(head.contains("?"), "&").otherwise("?"), F.lit(name + "="), value.cast("string"), tail)
+
+
+def fetch_outcome(asked: Column, cleaned: Column, status: Column, final: Column, error: Column) -> Column:
+    """How a check of an address ended."""
+    return (
+        F.when(error.rlike("(?i)timeout"), "no_timeout").when(error.rlike("(?i)ERR_NAME_NOT_RESOLVED|getaddrinfo|ENOTFOUND"), "no_dns")
+        .when(F.length(error) > 0, F.concat(F.lit("no_error:"), F.substring(error, 1, 60))).when(F.coalesce(status, F.lit(0)) == 0, "no_no_status")
+        .when(status >= 400, F.concat(F.lit("no_"), status.cast("string"))).when(~same_host(asked, final), F.concat(F.lit("redirected_to:"), final))
+        .when(asked != cleaned, "yes_url_fixed").otherwise("yes")
+    )

@@ -190,9 +190,9 @@ def semi_join(t):
     return t("customer").join(t("orders").where(F.col("o_orderpriority").startswith("1")), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 200000)")
 def anti_join(t):
-    return t("customer").join(t("orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where(F.col("o_orderpriority").startswith("1") & (F.col("o_totalprice") > 200000)), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(o.o_orderpriority, nullif(l_shipmode, ''), 'Unknown') AS location FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN l_returnflag ELSE '' END AS l_shipmode FROM lineitem) l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON l_orderkey = o_orderkey")
@@ -230,15 +230,15 @@ def topk(t):
     return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, r FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS r, o_totalprice FROM orders) ORDER BY r, o_totalprice DESC, o_orderkey LIMIT 25")
+@query("SELECT o_orderkey, r FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS r, o_totalprice FROM orders)")
 def custom_rank(t):
     r = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return t("orders").withColumn("r", r).orderBy("r", F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "r")
+    return t("orders").withColumn("r", r).orderBy("r", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "r")
 
 
-@query("SELECT n AS nationkey, side FROM (SELECT DISTINCT c_nationkey AS n, 'left' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer))")
+@query("WITH c AS (SELECT c_nationkey AS n FROM customer WHERE c_acctbal > 5000), s AS (SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 5000) SELECT n AS nationkey, side FROM (SELECT DISTINCT n, 'left' AS side FROM c WHERE n NOT IN (SELECT n FROM s) UNION ALL SELECT DISTINCT n, 'right' FROM s WHERE n NOT IN (SELECT n FROM c))")
 def set_ops(t):
-    return groups.full_diff(t("customer").select(F.col("c_nationkey").alias("nationkey")), t("supplier").select(F.col("s_nationkey").alias("nationkey")), "nationkey")
+    return groups.full_diff(t("customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("nationkey")), t("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nationkey")), "nationkey")
 
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace({0}, '<style[^>]*>.*?</style>', '', 'gis'), '<script[^>]*>.*?</script>', '', 'gis'), '<[^>]*>', '', 'g')"
@@ -285,10 +285,10 @@ def chunk_text(t):
     return t("documents").select("doc_id", F.posexplode(text.chunks("text", 2000, 500)).alias("piece", "chunk")).withColumn("piece", F.col("piece").cast("bigint"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{0590}-\x{05FF}]')) AS he, len(regexp_extract_all(text, '[A-Za-z]')) AS en FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{0590}-\x{05FF}]')) AS he, len(regexp_extract_all(text, '[A-Za-z]')) AS en FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'אבג דהו' WHEN 1 THEN 'אבג abc' WHEN 2 THEN '12' ELSE text END AS text FROM documents))
 SELECT doc_id, CASE WHEN he + en = 0 THEN 'other' WHEN he / (he + en) > 0.7 THEN 'he' WHEN he / (he + en) < 0.2 THEN 'en' ELSE 'mixed' END AS language FROM c""")
 def language_ratio(t):
-    return t("documents").select("doc_id", text.language("text").alias("language"))
+    return t("documents").select("doc_id", text.language(F.when(F.col("doc_id") % 4 == 0, "אבג דהו").when(F.col("doc_id") % 4 == 1, "אבג abc").when(F.col("doc_id") % 4 == 2, "12").otherwise(F.col("text"))).alias("language"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(['the', 'idiot', 'copyright', 'license', 'all rights reserved'], lambda x: contains(lower(text), x)), ',') AS terms FROM documents")
@@ -296,9 +296,9 @@ def term_match(t):
     return t("documents").select("doc_id", F.array_join(text.terms("text", ["the", "idiot", "copyright", "license", "all rights reserved"]), ",").alias("terms"))
 
 
-@query(r"SELECT page_id, length(html) >= 20 AND (len(regexp_extract_all(html, '[.#][\w-]+\s*\{[^}]*\}')) >= 2 OR regexp_matches(html, '@(media|keyframes|import|supports|charset)\b', 'i') OR len(regexp_extract_all(html, '[{};:]')) / length(html) > 0.1) AS css FROM pages")
+@query(r"SELECT page_id, length(html) >= 20 AND (len(regexp_extract_all(html, '[.#][\w-]+\s*\{[^}]*\}')) >= 2 OR regexp_matches(html, '@(media|keyframes|import|supports|charset)\b', 'i') OR len(regexp_extract_all(html, '[{};:]')) / length(html) > 0.1) AS css FROM (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '.a {b} .c {d}' WHEN page_id % 4 = 1 THEN '@media x' ELSE '' END AS html FROM pages)")
 def css_reject(t):
-    return t("pages").select("page_id", text.looks_like_css("html").alias("css"))
+    return t("pages").select("page_id", text.looks_like_css(F.concat("html", F.when(F.col("page_id") % 4 == 0, ".a {b} .c {d}").when(F.col("page_id") % 4 == 1, "@media x").otherwise(""))).alias("css"))
 
 
 @query(r"SELECT doc_id, coalesce(nullif(regexp_extract(text, '([A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})', 1, 'i'), ''), nullif(regexp_extract(text, '(\b0\d{1,2}[\s\-]?\d{3}[\s\-]?\d{4}\b)', 1), '')) AS contact FROM documents")
@@ -306,9 +306,9 @@ def email_phone_extract(t):
     return t("documents").select("doc_id", text.contact("text").alias("contact"))
 
 
-@query(r"SELECT page_id, replace(upper(nullif(regexp_extract(html, '[(\[]\s*([A-Za-z]{1,4}[-_]?\d{2,8})\s*[)\]]', 1), '')), '_', '-') AS code FROM pages")
+@query(r"SELECT page_id, replace(upper(nullif(regexp_extract(html || CASE WHEN page_id % 3 = 0 THEN ' (jr_' || (100 + page_id) || ')' ELSE '' END, '[(\[]\s*([A-Za-z]{1,4}[-_]?\d{2,8})\s*[)\]]', 1), '')), '_', '-') AS code FROM pages")
 def job_code_extract(t):
-    return t("pages").select("page_id", text.job_code("html", brackets_only=True).alias("code"))
+    return t("pages").select("page_id", text.job_code(F.concat("html", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" (jr_"), (F.col("page_id") + 100).cast("string"), F.lit(")"))).otherwise("")), brackets_only=True).alias("code"))
 
 
 @query(r"SELECT p_partkey, list_filter(list_transform(string_split_regex(p_type || ' #' || p_brand || ')', '\s+'), lambda w: regexp_replace(w, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda w: regexp_matches(w, '^[A-Za-z0-9][A-Za-z0-9._/-]*$') AND regexp_matches(w, '\d'))[1] AS id FROM part")
@@ -336,13 +336,14 @@ def split_multi_value(t):
     return t("part").select("p_partkey", F.explode(text.split_values(F.replace("p_name", F.lit(" "), F.lit(" / ")))).alias("value"))
 
 
-@query(f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)
-SELECT o_orderkey, CAST(day AS VARCHAR) AS day, CASE WHEN n < 90 THEN 'fresh' WHEN n < 180 THEN 'd90' WHEN n < 365 THEN 'd180' ELSE 'd365' END AS bucket, day < DATE '2024-01-01' AS old FROM (SELECT *, datediff('day', day, DATE '{AS_OF}') AS n FROM d)""")
+@query(f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 500 AS INTEGER) AS ref FROM orders)
+SELECT o_orderkey, CAST(day AS VARCHAR) AS day, CASE WHEN n < 90 THEN 'fresh' WHEN n < 180 THEN 'd90' WHEN n < 365 THEN 'd180' ELSE 'd365' END AS bucket, day < DATE '1996-01-01' AS old FROM (SELECT *, datediff('day', day, ref) AS n FROM d)""")
 def date_parse(t):
     k = F.col("o_orderkey") % 3
     written = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(F.date_format("o_orderdate", "MMM d, yyyy"))
     day = dates.parse(written)
-    return t("orders").select("o_orderkey", day.alias("day")).withColumns({"bucket": dates.age_bucket(F.col("day"), F.lit(AS_OF).cast("date")), "old": dates.before_cutoff(F.col("day"), F.lit("2024-01-01").cast("date")), "day": F.col("day").cast("string")})
+    ref = F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 500).cast("int"))
+    return t("orders").select("o_orderkey", day.alias("day"), ref.alias("ref")).withColumns({"bucket": dates.age_bucket(F.col("day"), F.col("ref")), "old": dates.before_cutoff(F.col("day"), F.lit("1996-01-01").cast("date")), "day": F.col("day").cast("string")}).drop("ref")
 
 
 @query("""WITH k AS (SELECT p_partkey, array_to_string(list_filter([trim(p_name), trim(p_type)], lambda x: length(x) > 0), '|') AS s FROM part),
@@ -353,9 +354,10 @@ def synth_id(t):
     return t("part").select("p_partkey", F.conv(F.upper(F.substring(made, 3, 20)), 36, 10).cast("bigint").alias("hash"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_array_length(props, '$.fields'), 0) AS fields FROM events")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_array_length(props, '$.fields'), 0) AS fields FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN replace(props, '}', ', "fields": [1, 2]}') ELSE props END AS props FROM events)""")
 def json_fields(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.coalesce(F.json_array_length(F.get_json_object("props", "$.fields")), F.lit(0)).cast("bigint").alias("fields"))
+    e = t("events").withColumn("props", F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("}"), F.lit(', "fields": [1, 2]}'))).otherwise(F.col("props")))
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.coalesce(F.json_array_length(F.get_json_object("props", "$.fields")), F.lit(0)).cast("bigint").alias("fields"))
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN CAST(value AS VARCHAR) IS NOT NULL ELSE false END AS own, event_type AS kind FROM events")
@@ -375,12 +377,12 @@ def ensemble_merge(t):
     return scoring.ensemble(e, ["user_id"], "field", "event_type", "conf", "event_id", "purchase", "event_id")
 
 
-@query(r"""WITH d AS (SELECT doc_id, substr(text, 1, 230) AS title, CASE WHEN doc_id % 7 = 0 THEN 'Home' ELSE source END AS location, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'u' END AS url FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, text AS title, CASE WHEN doc_id % 7 = 0 THEN 'Home' ELSE source END AS location, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'u' END AS url FROM documents),
 v AS (SELECT doc_id, list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing_title' END, CASE WHEN regexp_matches(location, '^\s*(about( us)?|home(page)?)\s*$', 'i') OR regexp_matches(title, '^\s*(about( us)?|home(page)?)\s*$', 'i') THEN 'non_job_content' END], lambda x: x IS NOT NULL) AS m,
 list_filter([CASE WHEN url = '' THEN 'missing_url' END, CASE WHEN length(title) > 200 THEN 'title_too_long' END], lambda x: x IS NOT NULL) AS w FROM d)
 SELECT doc_id, CASE WHEN len(m) = 0 THEN 'valid' ELSE 'invalid:' || array_to_string(m, ',') END || CASE WHEN len(w) > 0 THEN ';warn:' || array_to_string(w, ',') ELSE '' END AS status FROM v""")
 def validate_record(t):
-    d = t("documents").select("doc_id", F.substring("text", 1, 230).alias("title"), F.when(F.col("doc_id") % 7 == 0, "Home").otherwise(F.col("source")).alias("location"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("u").alias("url"), F.lit("").alias("department"), F.lit("").alias("externalJobId"))
+    d = t("documents").select("doc_id", F.col("text").alias("title"), F.when(F.col("doc_id") % 7 == 0, "Home").otherwise(F.col("source")).alias("location"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("u").alias("url"), F.lit("").alias("department"), F.lit("").alias("externalJobId"))
     return records.validate(d).select("doc_id", "status")
 
 

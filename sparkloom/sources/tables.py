@@ -15,8 +15,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False).fillna("")
 
 
-def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
-    df.write.mode("overwrite").option("lineSep", line_end[-1]).csv(path, header=True, quote='"', escape='"', emptyValue="")
+def write_csv(df: DataFrame, path: str) -> None:
+    """Header, minimal quoting, line feeds: Spark's CSV writer takes one character as line end."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def write_csv_crlf(df: DataFrame, path: str) -> None:
+    """The same with CR LF, as text: a cell is quoted where it holds a quote, a comma or a line end. Each file starts with the header."""
+    quoted = lambda c: F.when(c.rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(",", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns])
+    head = F.concat_ws(",", *[quoted(F.lit(c)) for c in df.columns])
+    rows = df.select(line.alias("value"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    first = (F.col("_i") % (1 << 33)) == 0
+    rows.select(F.when(first, F.concat(head, F.lit("\r\n"), "value")).otherwise(F.col("value"))).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from sparkloom.plans import catalog
+from sparkloom.plans import catalog, fleet_catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,6 +27,9 @@ def plain(frame):
     return sorted(tuple(map(shown, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
+assert fleet_catalog.pick
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()

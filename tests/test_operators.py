@@ -78,6 +78,9 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [("a,b", 'say "x"'), ("two\nlines", "")]
     tables.write_csv(spark.createDataFrame(rows, "p string, q string").coalesce(1), str(tmp_path / "c"))
     assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "c")).collect()] == rows
+    tables.write_csv_crlf(spark.createDataFrame(rows + [("c", "d")], "p string, q string").coalesce(1), str(tmp_path / "d"))
+    (part,) = (tmp_path / "d").glob("part-*")
+    assert part.read_bytes() == b'p,q\r\n"a,b","say ""x"""\r\n"two\nlines",\r\nc,d\r\n'
 
 
 def test_stream(spark, tmp_path):
