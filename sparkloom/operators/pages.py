@@ -50,10 +50,12 @@ class Node:
         self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """All elements below, in page order; no recursion, so depth is free."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
     def text(self) -> str:
         return " ".join("".join(_pieces(self)).split())
@@ -92,31 +94,32 @@ def parse(page: str | None) -> Node:
 
 
 def _pieces(node: Node):
-    for k in node.kids:
+    todo = list(reversed(node.kids))
+    while todo:
+        k = todo.pop()
         if isinstance(k, str):
             yield k
         elif k.tag not in ("script", "style"):
-            yield from _pieces(k)
+            todo += reversed(k.kids)
 
 
 def dom_text(page: str | None) -> str:
     """Visible text, a line for each block, list items after a bullet that isn't doubled."""
     out: list[str] = []
-
-    def visit(node: Node) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
-                out.append(re.sub(r"\s+", " ", k))
-            elif k.tag not in ("script", "style", "noscript", "template"):
-                if k.tag in LINES:
-                    out.append("\n")
-                if k.tag == "li":
-                    out.append("\x01")
-                visit(k)
-                if k.tag in LINES:
-                    out.append("\n")
-
-    visit(parse(page))
+    todo: list[Node | str | None] = [*reversed(parse(page).kids)]  # None ends a block
+    while todo:
+        k = todo.pop()
+        if k is None:
+            out.append("\n")
+        elif isinstance(k, str):
+            out.append(re.sub(r"\s+", " ", k))
+        elif k.tag not in ("script", "style", "noscript", "template"):
+            if k.tag in LINES:
+                out.append("\n")
+                todo.append(None)
+            if k.tag == "li":
+                out.append("\x01")
+            todo += reversed(k.kids)
     text = re.sub(r"\x01\s*[•●▪‣◦·]?\s*", "• ", "".join(out))
     lines = [re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n")]
     return "\n".join(x for x in lines if x and x != "•")
@@ -177,8 +180,9 @@ def arrays(payload: str | None, depth: int = 5) -> list[dict]:
         if isinstance(x, list) and x and all(isinstance(i, dict) for i in x):
             out.append({"path": path, "n": len(x), "keys": sorted(x[0])})
         if left:
-            for k, v in x.items() if isinstance(x, dict) else []:
-                visit(v, f"{path}.{k}", left - 1)
+            inner, at = (x[0], f"{path}[*]") if isinstance(x, list) and x else (x, path)  # an array is known by its first object
+            for k, v in inner.items() if isinstance(inner, dict) else []:
+                visit(v, f"{at}.{k}", left - 1)
 
     try:
         visit(json.loads(payload or ""), "$", depth)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dates, ids, text
+from sparkloom.operators import places
 from sparkloom.operators.groups import first_occurrence, mark_duplicates
 
 # The fields of a record, and lengths beyond which a value is suspect.
@@ -45,7 +46,9 @@ def recover(records: DataFrame) -> DataFrame:
     found = {f: F.col(f"_found_{f}") for f in found}
     take = {f: v.isNotNull() for f, v in found.items()}
     marks = F.map_from_entries(F.filter(F.array(*[F.when(t, F.struct(F.lit(f"_enriched_{f}").alias("key"), found[f].alias("value"))) for f, t in take.items()]), lambda x: x.isNotNull()))
-    return records.withColumns({**{f: F.when(take[f], found[f]).otherwise(F.col(f)) for f in found}, "additional": F.map_concat("additional", marks)}).drop("_prose", *[f"_found_{f}" for f in found])
+    out = {f: F.when(take[f], found[f]).otherwise(F.col(f)) for f in found}
+    out["location"] = F.trim(F.regexp_replace(F.regexp_replace(out["location"], r"\s*/\s*", " "), r"\s+", " "))
+    return records.withColumns({**out, "additional": F.map_concat("additional", marks)}).drop("_prose", *[f"_found_{f}" for f in found])
 
 
 def furniture(*columns: Column | str) -> Column:
@@ -101,6 +104,19 @@ def override(records: DataFrame, overrides: DataFrame, site: str = "siteId") ->
     return out.withColumn("location", F.coalesce(F.try_element_at("locations", F.lit(1)), text.present("location"), F.lit("Unknown"))).drop("_s", "_k", "_l", "_key")
 
 
+def recover_places(records: DataFrame) -> DataFrame:
+    """The last resort for an empty location: a place that title or prose name without a label, marked in `additional`."""
+    found = records.withColumn("_place", F.when(F.trim("location") == "", places.from_prose(F.concat_ws("\n", "title", "description", "requirements"))))
+    marks = F.when(F.col("_place").isNotNull(), F.map_concat("additional", F.create_map(F.lit("_enriched_location"), F.col("_place")))).otherwise(F.col("additional"))
+    return found.withColumns({"location": F.coalesce("_place", "location"), "additional": marks}).drop("_place")
+
+
+def stored(records: DataFrame) -> DataFrame:
+    """As a row is kept: a title by default, empty texts as null."""
+    empty = {f: text.present(F.trim(f)) for f in FIELDS if f != "title"}
+    return records.withColumns({**empty, "title": F.coalesce(text.present(F.trim("title")), F.lit("Untitled"))})
+
+
 def pipeline(raw: DataFrame, order: list[Column], fields: str = "raw") -> DataFrame:
     """raw -> normalise -> recover -> validate -> deduplicate -> identify."""
     return identify(deduplicate(validate(recover(normalise(raw, fields))), order), order)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import groups, pages, policy, records, scoring
+from sparkloom.operators import groups, pages, places, policy, records, scoring
 from sparkloom.plans.listings import Listing
 from sparkloom.sources import tables
 from sparkloom.streaming import queue
@@ -47,6 +47,24 @@ def test_forms_and_items():
     assert pages.arrays("no json") == []
 
 
+def test_deep_pages_and_payloads():
+    deep = "<div>" * 5000 + "x<ul><li>y</ul>" + "</div>" * 5000
+    assert pages.dom_text(deep) == "x\n• y" and pages.parse(deep).text() == "xy" and sum(1 for _ in pages.parse(deep).walk()) == 5002
+    assert [a["path"] for a in pages.arrays('{"groups": [{"jobs": [{"t": 1}]}]}')] == ["$.groups", "$.groups[*].jobs"]
+
+
+def test_places_of_a_text():
+    g = places.Gazetteer(["חיפה", "קרית גת", "קרית גת דרום", "לוד"], {}, {})
+    assert g.scan("בא מחיפה") == [] and g.scan("חיפה וקרית גת, קרית גת דרום") == ["חיפה", "קרית גת", "קרית גת דרום"] and g.scan("לודים") == []
+
+
+def test_recovery_from_prose(spark):
+    rows = [(1, "נהג", "דרושים בנתניה עובדים", "", "", {"a": "b"}), (2, "b", "בחיפה", "", "own", {})]
+    df = spark.createDataFrame(rows, "i int, title string, description string, requirements string, location string, additional map<string,string>")
+    out = {r["i"]: r for r in records.recover_places(df).collect()}
+    assert out[1]["location"] == "נתניה" and out[1]["additional"] == {"a": "b", "_enriched_location": "נתניה"} and out[2]["location"] == "own" and out[2]["additional"] == {}
+
+
 def test_verdicts(spark):
     rows = spark.createDataFrame([("s", "NO_EXPLICIT_RESTRICTION", 80, ["b"]), ("s", "RESTRICTED", 61, ["a", "b"])], "k string, s string, c int, t array<string>")
     r = policy.merge_verdicts(rows, "k", "s", "c", "t").first()
