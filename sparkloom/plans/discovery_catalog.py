@@ -52,7 +52,7 @@ def listing_endpoints(t):
     other = arrays.select("l_orderkey", F.lit("meta.pages").alias("path"), F.lit(1).alias("at"), F.array_repeat(F.create_map(F.lit("id"), F.lit("1")), 9).alias("items"))
     best = discovery.endpoints(one.unionByName(other), "l_orderkey", "path", "items", "at")
     shown = F.array_join(F.transform("fields", lambda x: F.concat(discovery.json_path(F.col("path"), x.key), F.lit(":"), x.confidence.cast("string"))), ",")
-    return best.select("l_orderkey", "n", "path", shown.alias("fields"), F.round("score", 6).alias("score"))
+    return best.select("l_orderkey", F.col("n").cast("bigint").alias("n"), "path", shown.alias("fields"), F.round("score", 6).alias("score"))
 
 
 HREFS = ["https://a.com/jobs/1", "https://a.com/about", "https://a.com/careers/privacy", "https://a.com/x", "https://a.com/terms.pdf", "https://a.com/legal/", "https://a.com/משרות", "https://a.com/tos", "https://a.com/TERMS.PDF", "https://a.com/login?n=/jobs"]
@@ -109,10 +109,10 @@ def embedded_boards(t):
     return t("events").select("event_id", F.when(got.isNotNull(), F.concat_ws("|", got["vendor"], got["url"])).alias("board"), discovery.vendor(host).alias("vendor"))
 
 
-@query("""SELECT c_custkey, coalesce(s.o, b.n_name) AS item FROM customer LEFT JOIN (SELECT o_custkey % 40 AS k, min(o_orderstatus) AS o FROM orders GROUP BY 1) s ON c_custkey % 50 = s.k LEFT JOIN nation b ON c_custkey % 50 = n_nationkey""")
+@query("""SELECT c_custkey, coalesce(s.o, b.n_name) AS item FROM customer LEFT JOIN (SELECT o_custkey % 10 AS k, min(o_orderstatus) || '-' || (o_custkey % 10) AS o FROM orders GROUP BY 1) s ON c_custkey % 50 = s.k LEFT JOIN nation b ON c_custkey % 50 = n_nationkey""")
 def vendor_skeletons(t):
     """Saved settings win over built-in ones."""
-    saved = t("orders").groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.min("o_orderstatus").alias("item"))
+    saved = t("orders").groupBy((F.col("o_custkey") % 10).alias("k")).agg(F.min("o_orderstatus").alias("s")).select("k", F.concat_ws("-", "s", F.col("k").cast("string")).alias("item"))
     built_in = t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("item"))
     return discovery.skeletons(t("customer").select("c_custkey", (F.col("c_custkey") % 50).alias("k")), saved, built_in, "k", "item").select("c_custkey", "item")
 
@@ -136,11 +136,11 @@ def hidden_mails(t):
     return t("events").select("event_id", discovery.hidden_mail(F.when(F.col("event_id") % 5 == 0, "no hex").otherwise(hidden)).alias("mail"))
 
 
-@query("SELECT event_type, count_if(value > 100) AS hits, count(*) AS n, count_if(value > 100) / count(*) >= 0.5 AS accepted FROM events GROUP BY 1 UNION ALL SELECT event_type || '2', count_if(value > 300), count(*), count_if(value > 300) / count(*) >= 0.5 FROM events GROUP BY 1")
+@query("SELECT event_type, count_if(value > 20) AS hits, count(*) AS n, count_if(value > 20) / count(*) >= 0.5 AS accepted FROM events GROUP BY 1 UNION ALL SELECT event_type || '2', count_if(value > 300), count(*), count_if(value > 300) / count(*) >= 0.5 FROM events GROUP BY 1")
 def accepted_selectors(t):
     """C28."""
     e = t("events")
-    return discovery.accepted(e, "event_type", F.col("value") > 100).unionByName(discovery.accepted(e.withColumn("event_type", F.concat("event_type", F.lit("2"))), "event_type", F.col("value") > 300))
+    return discovery.accepted(e, "event_type", F.col("value") > 20).unionByName(discovery.accepted(e.withColumn("event_type", F.concat("event_type", F.lit("2"))), "event_type", F.col("value") > 300))
 
 
 @query("""SELECT user_id, count(*) AS n, min_by(p || ' -> ' || c, event_id) AS example FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'center' ELSE 'Haifa' END AS p, CASE WHEN event_type = 'view' THEN 'Holon' WHEN event_type = 'click' THEN 'Haifa' END AS c FROM events) WHERE p = 'center' AND c IS NOT NULL GROUP BY 1""")
