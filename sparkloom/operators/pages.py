@@ -126,9 +126,13 @@ def dom_text(page: str | None) -> str:
 
 
 def forms(page: str | None) -> list[dict]:
-    """Fields of all forms: form number, name, label, kind, required. A label is by `for`, around, placeholder, aria, name."""
+    """Fields of all forms: form number, name, label, kind, required. A label is by `for`, around, placeholder, aria, name, the label before, kind; 100 characters at most."""
     root, out = parse(page), []
     by_for = {n.attrs["for"]: n.text() for n in root.walk() if n.tag == "label" and n.attrs.get("for")}
+    before = {}
+    for n in [root, *root.walk()]:
+        own = [k for k in n.kids if isinstance(k, Node)]
+        before.update((id(b), a.text()) for a, b in zip(own, own[1:]) if a.tag == "label")
     for i, form in enumerate(n for n in root.walk() if n.tag == "form"):
         for f in form.walk():
             kind = f.attrs.get("type", "").lower() or f.tag
@@ -137,8 +141,9 @@ def forms(page: str | None) -> list[dict]:
             around, up = "", f.parent
             while up and up is not form:
                 around, up = (up.text() if up.tag == "label" else around), up.parent
-            label = next((x for x in (by_for.get(f.attrs.get("id", "")), around, f.attrs.get("placeholder"), f.attrs.get("aria-label"), f.attrs.get("name")) if x), f"{f.tag}:{kind}")
-            out.append({"form": i, "name": f.attrs.get("name", ""), "label": label, "kind": kind, "required": "required" in f.attrs})
+            spoken = re.sub(r"[_-]", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f.attrs.get("name", "")))
+            label = next(x for x in (by_for.get(f.attrs.get("id", "")), around, f.attrs.get("placeholder"), f.attrs.get("aria-label"), spoken, before.get(id(f)), f"{kind} {f.tag}" if "type" in f.attrs else f.tag) if x and x.strip())
+            out.append({"form": i, "name": f.attrs.get("name", ""), "label": label.strip()[:100], "kind": kind, "required": "required" in f.attrs})
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,23 @@ def replace_snapshot(df: DataFrame, path: str, partition: str) -> bool:
 
 def cascade_delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a unique key; the filter reaches the scan."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def seeds(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """New rows, one a key, of keys that aren't there yet: to append, and nothing when done again."""
+    return new.where(F.col(key).isNotNull()).dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+
+
+def slug(c: Column) -> Column:
+    """A name for files: lower case, letters and digits, one hyphen between words."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
+
+
+def mirror_json(df: DataFrame, path: str, name: str) -> None:
+    """A folder of JSON lines for each slug of a name; replaces what is there."""
+    df.withColumn("slug", slug(F.col(name))).write.mode("overwrite").partitionBy("slug").json(path)
