@@ -29,22 +29,32 @@ from __future__ import annotations
 import itertools
 import re
 import uuid
-import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts, remove, scratch
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 _PIECES = re.compile(rb"[.,;:!?\n-\r]").split
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes from -1 in few bytes: all first bytes, then all second ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+
+
 class Chunk:
     """A language's words so far: their codes in reading order, -1 between pieces."""
 
@@ -60,9 +70,13 @@ class Chunk:
                 self.sequence.append(-1)
 
     def row(self, lang: str) -> dict:
+        """The chunk with its words by falling count, so that most codes are small and pack well."""
         seen = np.frombuffer(self.sequence, np.int32)
         counts = np.bincount(seen[seen >= 0], minlength=len(self.codes))
-        return {"lang": lang, "words": [w.decode("utf-8", "surrogatepass") for w in self.codes], "counts": counts.tolist(), "sequence": zlib.compress(self.sequence.tobytes(), 1)}
+        order = np.argsort(-counts, kind="stable")
+        rank = np.append(np.argsort(order), -1)
+        words = [w.decode("utf-8", "surrogatepass") for w in self.codes]
+        return {"lang": lang, "words": [words[i] for i in order.tolist()], "counts": counts[order].tolist(), "sequence": packed(rank[seen])}
 
 
 _CHUNK = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("sequence", pa.binary())])
@@ -109,7 +123,7 @@ def pairs_of(chunk: pa.Table, names: pa.Table) -> pa.Table:
     """The pairs of ids that stand side by side in a chunk, with how often, from the chunk's words and the names given so far."""
     out = {"chunk": [], "left": [], "right": [], "n": []}
     if chunk.num_rows and names.num_rows:
-        sequence = np.frombuffer(zlib.decompress(chunk.column("sequence")[0].as_py()), np.int32)
+        sequence = unpacked(chunk.column("sequence")[0].as_py())
         level, left, right, name = (names.column(c).to_numpy() for c in ("level", "left", "right", "id"))
         ids = np.full(int(sequence.max()) + 2, -1)  # the last stands for the ends of pieces
         first = level == 1
