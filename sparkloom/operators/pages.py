@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 # Elements that start a line, elements without an end tag.
 LINES = frozenset("p div li ul ol br tr table section article h1 h2 h3 h4 h5 h6 header footer blockquote dt dd hr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Fixed values of the HTML standard: a start tag, what it ends where that is still open, and what it doesn't look beyond.
+_CELLS, _ROWS = ("td", "th"), ("tr", "td", "th")
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "td": (_CELLS, ("tr", "table")), "th": (_CELLS, ("tr", "table")), "tr": (_ROWS, ("table",)), **dict.fromkeys(("thead", "tbody", "tfoot"), ((*_ROWS, "thead", "tbody", "tfoot"), ("table",))),
+    **dict.fromkeys("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), (("p",), ("button", "table", "td", "th", "caption", "object", "template"))),
+}
 # What gives away the system behind a page, first match first.
 VENDORS = [
     (r"myworkdayjobs\.com|workday\.com/staffing", "Workday"),
@@ -67,6 +74,12 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        ends, within = IMPLIED.get(tag, ((), ()))
+        up, top = self.at, None
+        while ends and up.parent and up.tag not in within:
+            top, up = (up if up.tag in ends else top), up.parent
+        if top:
+            self.leave(top)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in VOID:
@@ -80,7 +93,11 @@ class _Tree(HTMLParser):
         while node.parent and node.tag != tag:
             node = node.parent
         if node.parent:
-            self.at = node.parent
+            self.leave(node)
+
+    def leave(self, node):
+        """A node ends, and with it all that is open below."""
+        self.at = node.parent
 
     def handle_data(self, data):
         self.at.kids.append(data)
