@@ -141,11 +141,15 @@ def pairs_of(chunk: pa.Table, names: pa.Table) -> pa.Table:
 def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows (keys, chunk, n, ...) of what occurs `least` times in all, with its id and total f; `own` marks one row of each.
 
-    One shuffle serves counting, naming and the way back. The id is the number of a row,
-    so it only holds once the table is written.
+    One shuffle serves counting, naming and the way back. The id is the number of a row, so it
+    only holds once the table is written; numbers are dense and follow the keys, so they pack well.
     """
-    group = Window.partitionBy(*keys)
-    numbered = rows.repartition(*keys).withColumn("_row", F.monotonically_increasing_id())
+    group, n = Window.partitionBy(*keys), parts(rows.sparkSession)
+    row = F.monotonically_increasing_id()
+    numbered = rows.repartition(n, *keys).sortWithinPartitions(*keys).withColumn("_row", row)
+    task = F.shiftright("_row", 33)
+    number = F.when(task < n, F.col("_row").bitwiseAND((1 << 33) - 1) * n + task).otherwise(F.raise_error("more tasks than shuffle partitions").cast("bigint"))
+    numbered = numbered.withColumn("_row", number)
     counted = numbered.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("_row").over(group))
     return counted.where(F.col("f") >= least).withColumn("own", F.col("_row") == F.col("id")).drop("_row", "n")
 
