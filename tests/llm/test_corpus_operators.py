@@ -146,6 +146,37 @@ def test_schedule_stays_within_a_block_of_the_exact_weights():
                 assert t % 97 or all(abs(done[x] * total - t * share[x]) < total for x in share)
 
 
+def test_no_span_misses_a_deadline(monkeypatch):
+    """Random shares and starts, spans of few slots: each block in its window, each source within a block, each span ends where the next one starts."""
+    rng, spans = random.Random(21), 0
+    while spans < 3000:
+        n = rng.choice([2, 3, 5, 8, 8, 13, 60])
+        weights = {f"s{i}": rng.choice([rng.randrange(1, 3000) ** 0.5, float(rng.randrange(1, 40)), rng.random() + 1e-3]) for i in range(n)}
+        share = op3_mixing.shares(weights)
+        total = sum(share.values())
+        monkeypatch.setattr(op3_mixing, "SPAN", rng.choice([1, 5, 64, 300]))
+        size = op3_mixing.span_of(share)
+        for t in [rng.randrange(10 ** rng.randrange(1, 12)) for _ in range(5 if size < 5000 else 0)]:
+            done = op3_mixing.done_by(share, total, t)
+            assert sum(done.values()) == t
+            for s, j in op3_mixing.schedule(share, t):
+                assert done[s] == j and j * total // share[s] <= t < -(-(j + 1) * total // share[s])
+                done[s] += 1
+                t += 1
+                assert t % 29 or all(abs(done[x] * total - t * share[x]) < total for x in share)
+            assert done == op3_mixing.done_by(share, total, t)
+            spans += 1
+
+
+def test_sources_of_uneven_weights(spark):
+    """Eight sources whose largest remainders, rounded up together, leave no schedule."""
+    blocks = dict(zip("abcdefgh", (14, 43, 1478, 46, 1279, 1481, 41, 29), strict=True))
+    found = op3_mixing.phases(blocks, dict(zip("abcdefgh", (16.0, 51.0, 1821.0, 55.0, 1576.0, 1825.0, 49.0, 34.0), strict=True)))
+    out = op3_mixing.slots_of(spark, found).toPandas()
+    assert sorted(out._slot) == list(range(sum(blocks.values()))) and out.groupby("_group")._turn.agg(["min", "nunique", "max"]).to_dict("index") == {s: {"min": 0, "nunique": n, "max": n - 1} for s, n in blocks.items()}
+    assert sum(p["length"] for p in found) == sum(blocks.values())
+
+
 def brute_mix(blocks, weights):
     """(source, block) by slot: earliest deadline first, slot by slot, with a new phase where a source ends."""
     left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
@@ -174,7 +205,7 @@ def test_phases_equal_brute_force():
         got = []
         for p in op3_mixing.phases(blocks, weights):
             assert p["start"] == len(got)
-            got += [(s, p["first"][s] + j) for s, j in op3_mixing.schedule(p["share"], 0)[: p["length"]]]
+            got += [(s, p["first"][s] + j) for s, j in itertools.islice(op3_mixing.schedule(p["share"], 0, max(op3_mixing.SPAN, p["length"])), p["length"])]
         assert got == brute_mix(blocks, weights)
 
 
