@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import cut, parts, remove, scratch
 
 CHUNK_BYTES = 16 << 20
+#: Buckets of pairs for each task that counts them.
+BUCKETS = 8
 _PIECES = re.compile(rb"[.,;:!?\n-\r]").split
 
 
@@ -119,39 +121,59 @@ def renamed(ids: np.ndarray, left: np.ndarray, right: np.ndarray, name: np.ndarr
     return np.where((here >= 0) & (known[at] == here), name[at], -1)
 
 
-def pairs_of(chunk: pa.Table, names: pa.Table) -> pa.Table:
-    """The pairs of ids that stand side by side in a chunk, with how often, from the chunk's words and the names given so far."""
-    out = {"chunk": [], "left": [], "right": [], "n": []}
+def buckets_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a pair is counted: equal for equal pairs, even over the buckets."""
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
+    """The pairs of ids that stand side by side in a chunk, with how often, from the chunk's words and the names given so far.
+
+    A row holds the pairs of one bucket in order: they pack better side by side than a row each.
+    """
+    values = code = np.zeros(0, np.int64)
+    left, right, n, number = code, code, code, 0
     if chunk.num_rows and names.num_rows:
+        number = chunk.column("chunk")[0].as_py()
         sequence = unpacked(chunk.column("sequence")[0].as_py())
-        level, left, right, name = (names.column(c).to_numpy() for c in ("level", "left", "right", "id"))
+        level, first, second, name = (names.column(c).to_numpy() for c in ("level", "left", "right", "id"))
         ids = np.full(int(sequence.max()) + 2, -1)  # the last stands for the ends of pieces
-        first = level == 1
-        ids[left[first]] = name[first]
+        ids[first[level == 1]] = name[level == 1]
         now = ids[sequence]
         for k in range(2, int(level.max()) + 1):
-            now = renamed(now, left[level == k], right[level == k], name[level == k])
+            now = renamed(now, first[level == k], second[level == k], name[level == k])
         values, code = np.unique(now, return_inverse=True)
         beside = code[:-1] * len(values) + code[1:]
         key, n = np.unique(beside[(now[:-1] >= 0) & (now[1:] >= 0)], return_counts=True)
-        out = {"chunk": np.full(len(key), chunk.column("chunk")[0].as_py()), "left": values[key // len(values)], "right": values[key % len(values)], "n": n}
-    return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+        left, right = values[key // len(values)], values[key % len(values)]
+    bucket = buckets_of(left, right, buckets)
+    order = np.argsort(bucket, kind="stable")
+    own, start = np.unique(bucket[order], return_index=True)
+    offsets = pa.array(np.append(start, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int64())) for x in (left, right, n)]
+    return pa.Table.from_arrays([pa.array(np.full(len(own), number), pa.int64()), pa.array(own, pa.int64()), *lists], names=["chunk", "bucket", "left", "right", "n"])
+
+
+def dealt(beside: DataFrame) -> DataFrame:
+    """A row a pair, those of one bucket in one task."""
+    rows = beside.repartition(parts(beside.sparkSession), "bucket").select("chunk", "bucket", F.explode(F.arrays_zip("left", "right", "n")).alias("_p"))
+    return rows.select("chunk", "bucket", F.col("_p.left").alias("left"), F.col("_p.right").alias("right"), F.col("_p.n").alias("n"))
 
 
 def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (keys, chunk, n, ...) of what occurs `least` times in all, with its id and total f; `own` marks one row of each.
+    """Rows (keys, chunk, n, ...), dealt by keys or some of them, of what occurs `least` times in all, with its id; one row of each has the total f.
 
     One shuffle serves counting, naming and the way back. The id is the number of a row, so it
     only holds once the table is written; numbers are dense and follow the keys, so they pack well.
     """
     group, n = Window.partitionBy(*keys), parts(rows.sparkSession)
-    row = F.monotonically_increasing_id()
-    numbered = rows.repartition(n, *keys).sortWithinPartitions(*keys).withColumn("_row", row)
+    numbered = rows.sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
     task = F.shiftright("_row", 33)
     number = F.when(task < n, F.col("_row").bitwiseAND((1 << 33) - 1) * n + task).otherwise(F.raise_error("more tasks than shuffle partitions").cast("bigint"))
-    numbered = numbered.withColumn("_row", number)
-    counted = numbered.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("_row").over(group))
-    return counted.where(F.col("f") >= least).withColumn("own", F.col("_row") == F.col("id")).drop("_row", "n")
+    counted = numbered.withColumn("_row", number).withColumn("_f", F.sum("n").over(group)).withColumn("id", F.min("_row").over(group))
+    return counted.where(F.col("_f") >= least).withColumn("f", F.when(F.col("_row") == F.col("id"), F.col("_f"))).drop("_row", "_f", "n", "bucket")
 
 
 def parents(level: DataFrame, below: DataFrame) -> DataFrame:
@@ -202,19 +224,19 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     total = base.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("n"))
     words = base.select("lang", "chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "_w"))
     words = words.select("lang", "chunk", F.col("code").cast("bigint"), F.col("_w.words").alias("word"), F.col("_w.counts").alias("n"))
-    found = stored(named(words, ["lang", "word"], least), "level1")
+    found = stored(named(words.repartition(parts(spark), "lang", "word"), ["lang", "word"], least), "level1")
     none = F.array().cast("array<bigint>")
-    below = found.where("own").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
+    below = found.where("f is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
     names = found.select("chunk", F.lit(1).alias("level"), F.col("code").alias("left"), F.lit(None).cast("bigint").alias("right"), "id")
-    levels = []
+    levels, buckets = [], BUCKETS * parts(spark)
     for k in range(2, longest + 1):
-        beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(pairs_of, "chunk bigint, left bigint, right bigint, n bigint")
+        beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(lambda a, b: pairs_of(a, b, buckets), "chunk bigint, bucket bigint, left array<bigint>, right array<bigint>, n array<bigint>")
         if k < longest:
-            found = stored(named(beside, ["left", "right"], least), f"level{k}")
+            found = stored(named(dealt(beside), ["bucket", "left", "right"], least), f"level{k}")
             names = names.unionByName(found.select("chunk", F.lit(k).alias("level"), "left", "right", "id"))
-            level = found.where("own").select("id", "left", "right", "f")
+            level = found.where("f is not null").select("id", "left", "right", "f")
         else:  # nothing is built on the last level: its counts are enough
-            level = beside.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("bigint"))
+            level = dealt(beside).groupBy("bucket", "left", "right").agg(F.sum("n").alias("f")).drop("bucket").where(F.col("f") >= least).withColumn("id", F.lit(None).cast("bigint"))
         below = stored(parents(level, below), f"phrases{k}")
         levels.append(below)
     shown = []
