@@ -34,6 +34,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -43,18 +44,18 @@ from .common import cut, parts, remove, scratch
 
 CHUNK_BYTES = 16 << 20
 #: Buckets of pairs for each task that counts them.
-BUCKETS = 8
+BUCKETS = 4
 _PIECES = re.compile(rb"[.,;:!?\n-\r]").split
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Codes from -1 in few bytes: all first bytes, then all second ones, and so on, compressed."""
-    return zstandard.compress(np.ascontiguousarray((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from -1 in few bytes: all first bytes, then all second ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray((values + 1).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64) - 1
 
 
 class Chunk:
@@ -131,7 +132,7 @@ def buckets_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
 def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     """The pairs of ids that stand side by side in a chunk, with how often, from the chunk's words and the names given so far.
 
-    A row holds the pairs of one bucket in order: they pack better side by side than a row each.
+    A row holds the pairs of one bucket in order, packed: steps between left ids, right ids, counts.
     """
     values = code = np.zeros(0, np.int64)
     left, right, n, number = code, code, code, 0
@@ -151,14 +152,21 @@ def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     bucket = buckets_of(left, right, buckets)
     order = np.argsort(bucket, kind="stable")
     own, start = np.unique(bucket[order], return_index=True)
-    offsets = pa.array(np.append(start, len(order)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int64())) for x in (left, right, n)]
-    return pa.Table.from_arrays([pa.array(np.full(len(own), number), pa.int64()), pa.array(own, pa.int64()), *lists], names=["chunk", "bucket", "left", "right", "n"])
+    ends = np.append(start, len(order))[1:]
+    blobs = [packed(np.concatenate([np.diff(left[o], prepend=0), right[o], n[o]])) for o in (order[a:b] for a, b in zip(start, ends, strict=True))]
+    return pa.table({"chunk": pa.array(np.full(len(own), number), pa.int64()), "bucket": pa.array(own, pa.int64()), "pairs": pa.array(blobs, pa.binary())})
+
+
+def _opened(blobs: pd.Series) -> pd.DataFrame:
+    rows = [unpacked(bytes(b)).reshape(3, -1) for b in blobs]
+    return pd.DataFrame({"left": pd.Series([np.cumsum(r[0]) for r in rows], dtype=object), "right": pd.Series([r[1] for r in rows], dtype=object), "n": pd.Series([r[2] for r in rows], dtype=object)})
 
 
 def dealt(beside: DataFrame) -> DataFrame:
     """A row a pair, those of one bucket in one task."""
-    rows = beside.repartition(parts(beside.sparkSession), "bucket").select("chunk", "bucket", F.explode(F.arrays_zip("left", "right", "n")).alias("_p"))
+    opened = F.pandas_udf(_opened, "left array<bigint>, right array<bigint>, n array<bigint>")
+    rows = beside.repartition(parts(beside.sparkSession), "bucket").select("chunk", "bucket", opened("pairs").alias("_p"))
+    rows = rows.select("chunk", "bucket", F.explode(F.arrays_zip("_p.left", "_p.right", "_p.n")).alias("_p"))
     return rows.select("chunk", "bucket", F.col("_p.left").alias("left"), F.col("_p.right").alias("right"), F.col("_p.n").alias("n"))
 
 
@@ -230,7 +238,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     names = found.select("chunk", F.lit(1).alias("level"), F.col("code").alias("left"), F.lit(None).cast("bigint").alias("right"), "id")
     levels, buckets = [], BUCKETS * parts(spark)
     for k in range(2, longest + 1):
-        beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(lambda a, b: pairs_of(a, b, buckets), "chunk bigint, bucket bigint, left array<bigint>, right array<bigint>, n array<bigint>")
+        beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(lambda a, b: pairs_of(a, b, buckets), "chunk bigint, bucket bigint, pairs binary")
         if k < longest:
             found = stored(named(dealt(beside), ["bucket", "left", "right"], least), f"level{k}")
             names = names.unionByName(found.select("chunk", F.lit(k).alias("level"), "left", "right", "id"))
