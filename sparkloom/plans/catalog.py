@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dates, ids, text, urls
-from sparkloom.operators import groups, pages, places, policy, records, scoring
+from sparkloom.operators import groups, merging, pages, places, policy, records, scoring
 from sparkloom.plans.listings import Listing
 from sparkloom.sources.tables import table
 from sparkloom.streaming import queue
@@ -219,10 +219,10 @@ def contains_join(t):
 @query("""WITH b AS (SELECT DISTINCT p_brand FROM part), v AS (SELECT p_brand AS name, row_number() OVER (ORDER BY length(p_brand) DESC, p_brand) AS r FROM b)
 SELECT b.p_brand, min_by(name, r) AS near FROM b JOIN v ON abs(length(b.p_brand) - length(name)) <= 1 AND levenshtein(b.p_brand, name) = 1 GROUP BY 1""")
 def edit_distance_join(t):
+    """Of the names one edit away the longest, then the first."""
     names = t("part").select("p_brand").distinct()
-    v = names.select(F.col("p_brand").alias("name"), F.row_number().over(Window.orderBy(F.length("p_brand").desc(), "p_brand")).alias("r"))
-    near = (F.abs(F.length("p_brand") - F.length("name")) <= 1) & (F.levenshtein("p_brand", "name", 1) == 1)
-    return names.join(v, near).groupBy("p_brand").agg(F.min_by("name", "r").alias("near"))
+    near = merging.one_edit_apart(names, names.select(F.col("p_brand").alias("name")), "p_brand", "name")
+    return near.groupBy("p_brand").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("near"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from sparkloom.plans import blocks_catalog, catalog, detect_catalog, discovery_catalog, fleet_catalog
+from sparkloom.plans import blocks_catalog, catalog, detect_catalog, discovery_catalog, fleet_catalog, merging_catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,7 +27,7 @@ def plain(frame):
     return sorted(tuple(map(shown, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-assert fleet_catalog.pick and discovery_catalog.query and blocks_catalog.query and detect_catalog.query
+assert fleet_catalog.pick and discovery_catalog.query and blocks_catalog.query and detect_catalog.query and merging_catalog.query
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
