@@ -15,6 +15,9 @@ LONG = {"title": 200, "location": 150, "department": 150, "externalJobId": 100}
 # What page furniture looks like when a selector catches it.
 FURNITURE = [r"(?i)^\s*(?:about(?: us)?|home(?:page)?|contact(?: us)?|privacy(?: policy)?|terms(?: of (?:use|service))?)\s*$", r"על החברה|אודות|עמוד הבית|צור קשר|מדיניות פרטיות|תנאי שימוש|תקנון", r"(?i)לחצו עם העכבר|press esc"]
 
+# How keys begin that say where a recovered field came from.
+PROSE_MARK, TITLE_MARK = "_enrichedFromDescription_", "_enrichedFromTitle_"
+
 
 def normalise(raw: DataFrame, fields: str = "raw") -> DataFrame:
     """The columns of FIELDS, url and additional (map) from a map of raw strings."""
@@ -37,18 +40,20 @@ def recover(records: DataFrame) -> DataFrame:
     found = {
         "location": text.labelled(prose, "location"),
         "department": text.labelled(prose, "department", line_leading=True, most=60),
-        "externalJobId": F.coalesce(text.clean_id(text.labelled(prose, "externalJobId")), text.job_code(prose), text.job_code("title", brackets_only=True)),
+        "externalJobId": F.coalesce(text.clean_id(text.labelled(prose, "externalJobId")), text.job_code(prose)),
         "publishDate": dates.published(prose),
         "requirements": text.requirements("description"),
         "applicationInfo": text.contact(prose),
     }
     records = records.withColumns({f"_found_{f}": F.when(F.trim(f) == "", v) for f, v in found.items()})
-    found = {f: F.col(f"_found_{f}") for f in found}
+    records = records.withColumn("_titled", F.when((F.trim("externalJobId") == "") & F.col("_found_externalJobId").isNull(), text.job_code("title", brackets_only=True)))
+    named = {f"{PROSE_MARK}{f}": F.col(f"_found_{f}") for f in found} | {f"{TITLE_MARK}externalJobId": F.col("_titled")}
+    marks = F.map_from_entries(F.filter(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in named.items()]), lambda x: x.isNotNull()))
+    found = {f: F.col(f"_found_{f}") for f in found} | {"externalJobId": F.coalesce("_found_externalJobId", "_titled")}
     take = {f: v.isNotNull() for f, v in found.items()}
-    marks = F.map_from_entries(F.filter(F.array(*[F.when(t, F.struct(F.lit(f"_enriched_{f}").alias("key"), found[f].alias("value"))) for f, t in take.items()]), lambda x: x.isNotNull()))
     out = {f: F.when(take[f], found[f]).otherwise(F.col(f)) for f in found}
     out["location"] = F.trim(F.regexp_replace(F.regexp_replace(out["location"], r"\s*/\s*", " "), r"\s+", " "))
-    return records.withColumns({**out, "additional": F.map_concat("additional", marks)}).drop("_prose", *[f"_found_{f}" for f in found])
+    return records.withColumns({**out, "additional": F.map_concat("additional", marks)}).drop("_prose", "_titled", *[f"_found_{f}" for f in found])
 
 
 def furniture(*columns: Column | str) -> Column:
@@ -107,7 +112,7 @@ def override(records: DataFrame, overrides: DataFrame, site: str = "siteId") ->
 def recover_places(records: DataFrame) -> DataFrame:
     """The last resort for an empty location: a place that title or prose name without a label, marked in `additional`."""
     found = records.withColumn("_place", F.when(F.trim("location") == "", places.from_prose(F.concat_ws("\n", "title", "description", "requirements"))))
-    marks = F.when(F.col("_place").isNotNull(), F.map_concat("additional", F.create_map(F.lit("_enriched_location"), F.col("_place")))).otherwise(F.col("additional"))
+    marks = F.when(F.col("_place").isNotNull(), F.map_concat("additional", F.create_map(F.lit(f"{PROSE_MARK}location"), F.col("_place")))).otherwise(F.col("additional"))
     return found.withColumns({"location": F.coalesce("_place", "location"), "additional": marks}).drop("_place")
 
 

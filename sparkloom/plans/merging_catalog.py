@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import merging
+from sparkloom.operators import audit, merging
 from sparkloom.plans.catalog import ORACLE, QUERIES, _EVENT_STATUS, query
 from sparkloom.sources import batches
 from sparkloom.streaming import life_cycle
@@ -82,3 +82,18 @@ def queue_life_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["queue_life_cycle"] = queue_life_cycle
+
+
+@query(r"""WITH r AS (SELECT source, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS form, text AS d, CASE WHEN lang = 'fr' THEN NULL WHEN lang = 'de' THEN 'Unknown' ELSE lang END AS place, CASE WHEN length(text) % 3 = 0 THEN 'r' END AS req, substr(md5(text), 1, 8) AS id FROM documents),
+c AS (SELECT source, count(*) AS jobs, count(*) FILTER (form = 0) AS noForm, count(*) FILTER (form = 0 AND regexp_matches(d, 'mailto:|[\w.+-]+@[\w.-]+\.\w+|(?i:^https?://)')) AS hasFallback, count(*) FILTER (place IS NULL) AS noLocation, count(*) FILTER (place = 'Unknown') AS unknownLocation,
+count(*) FILTER (coalesce(trim(d), '') = '') AS noDescription, count(*) FILTER (req IS NULL) AS noRequirements, count(*) FILTER (id IS NULL) AS noExternalId, count(*) FILTER (trim(d) <> '') AS descriptions, count(*) FILTER (trim(d) <> '' AND length(d) > 200 AND NOT contains(d, chr(10))) AS blobs FROM r GROUP BY 1),
+u AS (SELECT source, count(*) FILTER (m > 1) AS duplicateIds FROM (SELECT source, id, count(*) AS m FROM r WHERE id IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT *, array_to_string(list_filter([CASE WHEN noForm >= 0.1 * jobs THEN printf('No apply form (%.1f%%)', noForm * 100 / jobs) END, CASE WHEN noLocation >= 0.1 * jobs THEN printf('No location (%.1f%%)', noLocation * 100 / jobs) END, CASE WHEN noDescription >= 0.1 * jobs THEN printf('No description (%.1f%%)', noDescription * 100 / jobs) END, CASE WHEN noExternalId >= 0.1 * jobs THEN printf('No externalJobId (%.1f%%)', noExternalId * 100 / jobs) END,
+CASE WHEN descriptions > 0 AND blobs >= 0.1 * descriptions THEN printf('Unstructured "blob" text (%.1f%%)', blobs * 100 / descriptions) END, CASE WHEN noRequirements >= 0.5 * jobs AND descriptions > 0 AND blobs >= 0.5 * descriptions THEN printf('No requirements AND unstructured (%.1f%% / %.1f%%)', noRequirements * 100 / jobs, blobs * 100 / descriptions) END, CASE WHEN duplicateIds > 0 THEN duplicateIds || ' duplicate externalJobId value(s)' END], lambda x: x IS NOT NULL), '; ') AS issues FROM c JOIN u USING (source)""")
+def quality_audit(t):
+    """The ten counts and seven gates over documents as records: their copies for repeated ids, addresses in their texts for another way to apply."""
+    d = t("documents")
+    raw = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in {"description": F.col("text"), "_formData": F.when(F.col("doc_id") % 4 == 0, '{"fields": ["name"]}').otherwise("none")}.items()]))
+    rows = d.select("source", raw.alias("raw"), F.lit(None).cast("string").alias("description"), F.when(F.length("text") % 3 == 0, "r").alias("requirements"), F.when(F.col("lang") == "de", "Unknown").when(F.col("lang") != "fr", F.col("lang")).alias("location"), F.substring(F.md5("text"), 1, 8).alias("externalJobId"), F.col("text").alias("applicationInfo"), F.lit(None).cast("string").alias("detailUrl"))
+    report = audit.audited(rows, "source")
+    return report.withColumn("issues", F.array_join(audit.issues(F.lit("ACTIVE")), "; "))

@@ -13,7 +13,7 @@ def test_records(spark):
     raw = [(1, {"title": "Senior Data Scientist - (JB-2683)", "detailUrl_href": "https://x/1", "extra": " a  b "}), (2, {"title": "Senior Data Scientist - (JB-2683)", "detailUrl_href": "https://x/2"}), (3, {"title": "Home", "title_href": "https://x/3"}), (4, {"title": "", "location": "y"}), (5, {"title": "Other", "detailUrl": "https://x/5"})]
     out = {r["i"]: r for r in records.pipeline(spark.createDataFrame(raw, "i int, raw map<string,string>"), [F.col("i")]).collect()}
     assert sorted(out) == [1, 5]
-    assert out[1]["jobId"] == "JB-2683" and out[1]["additional"] == {"extra": "a b", "_enriched_externalJobId": "JB-2683"}
+    assert out[1]["jobId"] == "JB-2683" and out[1]["additional"] == {"extra": "a b", "_enrichedFromTitle_externalJobId": "JB-2683"}
     assert out[5]["jobId"].startswith("h-") and out[5]["synthesised"] and not out[5]["collision"]
 
 
@@ -62,7 +62,7 @@ def test_recovery_from_prose(spark):
     rows = [(1, "נהג", "דרושים בנתניה עובדים", "", "", {"a": "b"}), (2, "b", "בחיפה", "", "own", {})]
     df = spark.createDataFrame(rows, "i int, title string, description string, requirements string, location string, additional map<string,string>")
     out = {r["i"]: r for r in records.recover_places(df).collect()}
-    assert out[1]["location"] == "נתניה" and out[1]["additional"] == {"a": "b", "_enriched_location": "נתניה"} and out[2]["location"] == "own" and out[2]["additional"] == {}
+    assert out[1]["location"] == "נתניה" and out[1]["additional"] == {"a": "b", "_enrichedFromDescription_location": "נתניה"} and out[2]["location"] == "own" and out[2]["additional"] == {}
 
 
 def test_verdicts(spark):
