@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dates, text, urls
-from sparkloom.operators import config, fleet, groups, places
+from sparkloom.operators import blocks, config, fleet, groups, places
 from sparkloom.plans.catalog import AS_OF, query
 
 
@@ -77,7 +77,7 @@ FROM (SELECT event_id, {_M} AS m FROM events)""")
 def selector_marks(t):
     """H7, T-32, T-40."""
     m = F.col("m")
-    return t("events").select("event_id", pick("event_id", MARKS).alias("m")).select("event_id", text.stable_id(m).alias("stable"), text.generated_class(m).alias("generated"), text.general_selector(m).alias("general"))
+    return t("events").select("event_id", pick("event_id", MARKS).alias("m")).select("event_id", text.stable_id(m).alias("stable"), F.coalesce(m.rlike(blocks.MADE_CLASS), F.lit(False)).alias("generated"), text.general_selector(m).alias("general"))
 
 
 TITLES, IDS, APPLY = ["Driver", " ", "Cook", "Nurse", "Guard"], ["A1", "", "A2"], ["", "a@b.co", ""]
