@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import audit, merging
+from sparkloom.operators import audit, enrich, merging
 from sparkloom.plans.catalog import ORACLE, QUERIES, _EVENT_STATUS, query
 from sparkloom.sources import batches
 from sparkloom.streaming import life_cycle
@@ -97,3 +97,14 @@ def quality_audit(t):
     rows = d.select("source", raw.alias("raw"), F.lit(None).cast("string").alias("description"), F.when(F.length("text") % 3 == 0, "r").alias("requirements"), F.when(F.col("lang") == "de", "Unknown").when(F.col("lang") != "fr", F.col("lang")).alias("location"), F.substring(F.md5("text"), 1, 8).alias("externalJobId"), F.col("text").alias("applicationInfo"), F.lit(None).cast("string").alias("detailUrl"))
     report = audit.audited(rows, "source")
     return report.withColumn("issues", F.array_join(audit.issues(F.lit("ACTIVE")), "; "))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, html, CASE WHEN page_id % 17 = 0 THEN 404 ELSE 200 END AS s, CASE WHEN page_id % 23 = 0 THEN 'Timeout 30000ms' ELSE '' END AS e, repeat(html, CASE WHEN page_id % 5 = 0 THEN 3 ELSE 1 END) AS f, coalesce(regexp_extract(url, '^https?://([^/?#]+)', 1), '') AS h FROM pages),
+r AS (SELECT *, length(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>[\s\S]*?</script>', '', 'gi'), '<style\b[^>]*>[\s\S]*?</style>', '', 'gi'), '<!--[\s\S]*?-->', '', 'g')) AS n, length(regexp_replace(regexp_replace(regexp_replace(f, '<script\b[^>]*>[\s\S]*?</script>', '', 'gi'), '<style\b[^>]*>[\s\S]*?</style>', '', 'gi'), '<!--[\s\S]*?-->', '', 'g')) AS m, e = '' AND s < 400 AS good FROM p)
+SELECT page_id, CASE WHEN e <> '' THEN 'no_timeout' WHEN s >= 400 THEN 'no_404' ELSE 'yes' END AS careers_url_verified, CASE WHEN NOT good THEN 'unknown' WHEN n < 5000 OR (m > 2 * n AND n < 30000) THEN 'CSR-SPA' WHEN len(regexp_extract_all(lower(html), 'job|position|career|opening|משרה|תפקיד')) >= 15 THEN 'SSR' ELSE 'Hybrid' END AS rendering,
+CASE WHEN good THEN '' WHEN e <> '' THEN e ELSE 'HTTP 404' END AS enrichment_notes FROM r""")
+def enriched_pages(t):
+    """C13, T-25: pages as fetches of their own addresses; some are lost, some are trebled by scripts."""
+    p = t("pages").withColumns({"status": F.when(F.col("page_id") % 17 == 0, 404).otherwise(200), "final": F.col("url"), "error": F.when(F.col("page_id") % 23 == 0, "Timeout 30000ms").otherwise(""), "grown": F.when(F.col("page_id") % 5 == 0, F.repeat("html", 3)).otherwise(F.col("html")), "headers": F.lit(None).cast("map<string,string>")})
+    out = enrich.enriched(p, "url", "status", "final", "error", "html", "grown", "headers", "html")
+    return out.select("page_id", "careers_url_verified", "rendering", "enrichment_notes")
