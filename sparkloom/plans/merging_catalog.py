@@ -108,3 +108,23 @@ def enriched_pages(t):
     p = t("pages").withColumns({"status": F.when(F.col("page_id") % 17 == 0, 404).otherwise(200), "final": F.col("url"), "error": F.when(F.col("page_id") % 23 == 0, "Timeout 30000ms").otherwise(""), "grown": F.when(F.col("page_id") % 5 == 0, F.repeat("html", 3)).otherwise(F.col("html")), "headers": F.lit(None).cast("map<string,string>")})
     out = enrich.enriched(p, "url", "status", "final", "error", "html", "grown", "headers", "html")
     return out.select("page_id", "careers_url_verified", "rendering", "enrichment_notes")
+
+
+def analysed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods over pages and one that fails, under one result schema."""
+    items = F.regexp_count("html", F.lit("<li>"))
+    methods = {
+        "headline": lambda p: p.where(F.contains("html", F.lit("<h1>"))).select("page_id", F.lit(0.8).alias("confidence"), F.create_map(F.lit("title"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("fields")),
+        "menu": lambda p: p.where(items >= 5).select("page_id", (F.least(items, F.lit(10)) / 10).alias("confidence"), F.create_map(F.lit("items"), items.cast("string")).alias("fields")),
+        "frames": lambda p: p.select("page_id", F.col("frames.confidence"), F.col("frames.fields")),  # the table has no such column
+    }
+    out = merging.analysed(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", methods, _shared(spark))
+    value = F.coalesce(F.try_element_at("fields", F.lit("title")), F.try_element_at("fields", F.lit("items")))
+    return out.select("page_id", "method", "found", "confidence", value.alias("value"), F.col("error").isNotNull().alias("failed"))
+
+
+QUERIES["analysed_pages"] = analysed_pages
+ORACLE["analysed_pages"] = r"""WITH p AS (SELECT DISTINCT page_id, html, contains(html, '<h1>') AS h, len(regexp_extract_all(html, '<li>')) AS n FROM pages)
+SELECT page_id, 'headline' AS method, h AS found, CASE WHEN h THEN 0.8::DOUBLE ELSE 0 END AS confidence, CASE WHEN h THEN regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) END AS value, false AS failed FROM p
+UNION ALL SELECT page_id, 'menu', n >= 5, CASE WHEN n >= 5 THEN least(n, 10) / 10 ELSE 0 END, CASE WHEN n >= 5 THEN CAST(n AS VARCHAR) END, false FROM p
+UNION ALL SELECT page_id, 'frames', false, 0, NULL, true FROM p"""
