@@ -11,8 +11,9 @@ out in the text's order, and no count rests on a hash.
 
 Texts are read once into chunks (a language's words of some MB of text as numbers,
 packed, beside the chunk's own vocabulary), which are written. Each level reads
-them again together with the names that occur in them; a chunk of bounded size is
-the most that a task holds. A very frequent pair has one row a chunk, so no count
+them again together with the names that occur in them, and sends their pairs, packed
+by hash bucket, to be counted; a chunk or a bucket, both of bounded size, is the
+most that a task holds. A very frequent pair has one row a chunk, so no count
 gathers its occurrences. The best phrases are found in rounds over salted parts of
 a language, so no task ranks a whole language.
 
@@ -34,7 +35,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import cut, parts, remove, scratch
 
 CHUNK_BYTES = 16 << 20
-#: Buckets of pairs for each task that counts them.
-BUCKETS = 4
+#: Buckets of pairs for each task that counts them, and words of text for each bucket at most: a bucket is held whole in its task.
+BUCKETS, BUCKET_WORDS = 4, 8 << 20
 _PIECES = re.compile(rb"[.,;:!?\n-\r]").split
 
 
@@ -157,17 +157,29 @@ def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"chunk": pa.array(np.full(len(own), number), pa.int64()), "bucket": pa.array(own, pa.int64()), "pairs": pa.array(blobs, pa.binary())})
 
 
-def _opened(blobs: pd.Series) -> pd.DataFrame:
-    rows = [unpacked(bytes(b)).reshape(3, -1) for b in blobs]
-    return pd.DataFrame({"left": pd.Series([np.cumsum(r[0]) for r in rows], dtype=object), "right": pd.Series([r[1] for r in rows], dtype=object), "n": pd.Series([r[2] for r in rows], dtype=object)})
+def counted(bucket: pa.Table, least: int, buckets: int, last: bool) -> pa.Table:
+    """Of a bucket's pairs those that occur `least` times in all, with their id and a row for each chunk that has them; the first row of each has the total f.
 
-
-def dealt(beside: DataFrame) -> DataFrame:
-    """A row a pair, those of one bucket in one task."""
-    opened = F.pandas_udf(_opened, "left array<bigint>, right array<bigint>, n array<bigint>")
-    rows = beside.repartition(parts(beside.sparkSession), "bucket").select("chunk", "bucket", opened("pairs").alias("_p"))
-    rows = rows.select("chunk", "bucket", F.explode(F.arrays_zip("_p.left", "_p.right", "_p.n")).alias("_p"))
-    return rows.select("chunk", "bucket", F.col("_p.left").alias("left"), F.col("_p.right").alias("right"), F.col("_p.n").alias("n"))
+    The id is the place among the bucket's frequent pairs in order, times the number of
+    buckets, plus the bucket's own number: unique, dense, and the same whenever it is made.
+    On the last level only totals are wanted.
+    """
+    held = [unpacked(b.as_py()).reshape(3, -1) for b in bucket.column("pairs")]
+    left, right, n = (np.concatenate([np.cumsum(h[k]) if k == 0 else h[k] for h in held]) for k in range(3))
+    chunk = np.repeat(bucket.column("chunk").to_numpy(), [h.shape[1] for h in held])
+    order = np.lexsort((chunk, right, left))
+    left, right, n, chunk = left[order], right[order], n[order], chunk[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (np.diff(left) != 0) | (np.diff(right) != 0)]))
+    total, size = np.add.reduceat(n, fresh), np.diff(np.append(fresh, len(n)))
+    kept = total >= least
+    first = fresh[kept]
+    if last:
+        return pa.table({"left": left[first], "right": right[first], "f": total[kept]})
+    rows = np.flatnonzero(np.repeat(kept, size))
+    name = np.repeat(np.arange(kept.sum()) * buckets + bucket.column("bucket")[0].as_py(), size[kept])
+    own = np.isin(rows, first, assume_unique=True)
+    f = pa.array(np.repeat(total[kept], size[kept]), pa.int64(), mask=~own)
+    return pa.table({"chunk": chunk[rows], "left": left[rows], "right": right[rows], "id": pa.array(name, pa.int64()), "f": f})
 
 
 def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -181,7 +193,7 @@ def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     task = F.shiftright("_row", 33)
     number = F.when(task < n, F.col("_row").bitwiseAND((1 << 33) - 1) * n + task).otherwise(F.raise_error("more tasks than shuffle partitions").cast("bigint"))
     counted = numbered.withColumn("_row", number).withColumn("_f", F.sum("n").over(group)).withColumn("id", F.min("_row").over(group))
-    return counted.where(F.col("_f") >= least).withColumn("f", F.when(F.col("_row") == F.col("id"), F.col("_f"))).drop("_row", "_f", "n", "bucket")
+    return counted.where(F.col("_f") >= least).withColumn("f", F.when(F.col("_row") == F.col("id"), F.col("_f"))).drop("_row", "_f", "n")
 
 
 def parents(level: DataFrame, below: DataFrame) -> DataFrame:
@@ -236,15 +248,16 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     none = F.array().cast("array<bigint>")
     below = found.where("f is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
     names = found.select("chunk", F.lit(1).alias("level"), F.col("code").alias("left"), F.lit(None).cast("bigint").alias("right"), "id")
-    levels, buckets = [], BUCKETS * parts(spark)
+    words_in_all = total.agg(F.sum("n")).first()[0] or 0
+    levels, buckets = [], max(BUCKETS * parts(spark), words_in_all // BUCKET_WORDS)
     for k in range(2, longest + 1):
         beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(lambda a, b: pairs_of(a, b, buckets), "chunk bigint, bucket bigint, pairs binary")
         if k < longest:
-            found = stored(named(dealt(beside), ["bucket", "left", "right"], least), f"level{k}")
+            found = stored(beside.groupBy("bucket").applyInArrow(lambda t: counted(t, least, buckets, False), "chunk bigint, left bigint, right bigint, id bigint, f bigint"), f"level{k}")
             names = names.unionByName(found.select("chunk", F.lit(k).alias("level"), "left", "right", "id"))
             level = found.where("f is not null").select("id", "left", "right", "f")
         else:  # nothing is built on the last level: its counts are enough
-            level = dealt(beside).groupBy("bucket", "left", "right").agg(F.sum("n").alias("f")).drop("bucket").where(F.col("f") >= least).withColumn("id", F.lit(None).cast("bigint"))
+            level = beside.groupBy("bucket").applyInArrow(lambda t: counted(t, least, buckets, True), "left bigint, right bigint, f bigint").withColumn("id", F.lit(None).cast("bigint"))
         below = stored(parents(level, below), f"phrases{k}")
         levels.append(below)
     shown = []
