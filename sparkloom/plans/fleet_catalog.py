@@ -106,7 +106,7 @@ def location_warnings(t):
 @query("""WITH v AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1)
 SELECT value, n, value IN ('click', 'view') AS before, value IN ('click', 'view', 'purchase') AS after, round(sum(CASE WHEN value IN ('click', 'view') THEN n ELSE 0 END) OVER () * 100.0 / sum(n) OVER (), 1) AS share_before, round(sum(CASE WHEN value IN ('click', 'view', 'purchase') THEN n ELSE 0 END) OVER () * 100.0 / sum(n) OVER (), 1) AS share_after FROM v""")
 def canonical_share(t):
-    """Values weighted by their count, before and after."""
+    """Values weighted by their count, before and after."""
     v = t("events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
     v = v.withColumns({"before": F.col("value").isin("click", "view"), "after": F.col("value").isin("click", "view", "purchase")})
     whole = Window.partitionBy()  # a row a value
@@ -134,7 +134,7 @@ def latest_failures(t):
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)
 SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1 AND n >= 2""")
 def commonest_parent(t):
-    """The commonest value of a group, ties to the first seen."""
+    """The commonest value of a group, ties to the first seen."""
     return fleet.mode(t("events"), "user_id", "event_type", "event_id")
 
 
@@ -149,7 +149,7 @@ def overall_scores(t):
 @query("""WITH u AS (SELECT event_id AS pos, user_id AS k FROM events WHERE event_type = 'click' UNION ALL SELECT event_id + 1000000, user_id FROM events WHERE event_type = 'view'), d AS (SELECT * FROM u WHERE k % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY pos) = 1)
 SELECT pos, k FROM d ORDER BY pos LIMIT 40 OFFSET 5""")
 def union_pages(t):
-    """Pages in a row, blank rows dropped, first of each key, from a start to a cap."""
+    """Pages in a row, blank rows dropped, first of each key, from a start to a cap."""
     e = t("events")
     both = e.where("event_type = 'click'").select(F.col("event_id").alias("pos"), F.col("user_id").alias("k")).unionByName(e.where("event_type = 'view'").select((F.col("event_id") + 1000000).alias("pos"), F.col("user_id").alias("k")))
     return groups.first_occurrence(both.where("k % 11 <> 0"), F.col("k"), [F.col("pos")]).orderBy("pos").offset(5).limit(40)
@@ -188,7 +188,7 @@ def site_settings(t):
 @query("""SELECT event_id, '{"_meta":{"k":' || coalesce(CAST(k AS VARCHAR), 'null') || ',"note":null}}' AS saved, CASE WHEN event_id % 2 = 0 THEN coalesce(event_type, '') ELSE '' END AS description, CASE WHEN event_id % 2 = 0 THEN '' ELSE event_type END AS location,
 array_to_string(list_sort(list_filter(['k', 'fields', 'title'], lambda x: NOT list_contains(CASE WHEN event_id % 3 = 0 THEN ['title', 'fields'] ELSE json_keys(props) END, x))), ',') AS missing FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
 def stored_fields(t):
-    """P15, P22, J15, C23."""
+    """P15, P22, J15."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     raw, own = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(""), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type"))
     stored = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("title"), F.lit("fields"))).otherwise(F.json_object_keys("props"))
@@ -212,7 +212,7 @@ CASE WHEN count_if(event_type = 'error') % 3 = 0 THEN 'BROKEN' WHEN count_if(eve
 CASE WHEN (count_if(event_type = 'click') <= 1 OR count_if(event_type = 'view') < count_if(event_type = 'click')) AND count_if(event_type = 'error') > count_if(event_type = 'view') THEN 'auto' ELSE 'explicit' END AS strategy,
 CASE WHEN max(value) < 300 THEN 'RED' WHEN max(value) > 480 THEN 'GREEN' WHEN count(*) >= 3 THEN 'YELLOW' ELSE 'GRAY' END AS lane, CASE WHEN count(*) % 3 <> 0 THEN 'plain' WHEN count(*) % 2 = 1 THEN 'needs_override' ELSE 'unreachable' END AS reach FROM events GROUP BY 1""")
 def site_verdicts(t):
-    """C6, C7, C15, C25, C26, H3, H5."""
+    """C6, C7, C15, C25, H3, H5."""
     n = lambda kind: F.count_if(F.col("event_type") == kind)
     g = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("v"), *[n(k).alias(k) for k in ("error", "signup", "view", "click")])
     c = F.col
@@ -225,7 +225,7 @@ def site_verdicts(t):
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "failedAt", CASE WHEN o_orderstatus = 'O' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "activeAt", coalesce(o_totalprice <> lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), false) AS changed, CASE WHEN o_totalprice > 100000 THEN ['big'] ELSE [] END AS tags,
 CASE WHEN o_orderkey % 3 = 0 THEN '2024-02-01' WHEN o_orderkey % 3 = 1 THEN CAST(DATE '{AS_OF}' - 30 AS VARCHAR) END AS cutoff FROM orders WHERE o_orderkey <> 7""")
 def site_updates(t):
-    """D5, D7, D8, F12, R10, S2, S18."""
+    """D5, D8, F12, R10, S18."""
     status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "ACTIVE")
     made = fleet.stamps(status, F.col("o_orderdate").cast("date").cast("string"))
     k = F.col("o_orderkey") % 3
