@@ -139,12 +139,14 @@ def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     if chunk.num_rows and names.num_rows:
         number = chunk.column("chunk")[0].as_py()
         sequence = unpacked(chunk.column("sequence")[0].as_py())
-        level, first, second, name = (names.column(c).to_numpy() for c in ("level", "left", "right", "id"))
+        level = names.column("level").to_numpy()
         ids = np.full(int(sequence.max()) + 2, -1)  # the last stands for the ends of pieces
-        ids[first[level == 1]] = name[level == 1]
+        single = names.filter(pa.array(level == 1))
+        ids[single.column("code").to_numpy()] = single.column("id").to_numpy()
         now = ids[sequence]
         for k in range(2, int(level.max()) + 1):
-            now = renamed(now, first[level == k], second[level == k], name[level == k])
+            some = [unpacked(b.as_py()).reshape(3, -1) for b in names.filter(pa.array(level == k)).column("names")]
+            now = renamed(now, *np.concatenate([np.stack([np.cumsum(x[0]), x[1], x[2]]) for x in some], axis=1))
         values, code = np.unique(now, return_inverse=True)
         beside = code[:-1] * len(values) + code[1:]
         key, n = np.unique(beside[(now[:-1] >= 0) & (now[1:] >= 0)], return_counts=True)
@@ -158,7 +160,7 @@ def pairs_of(chunk: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
 
 
 def counted(bucket: pa.Table, least: int, buckets: int, last: bool) -> pa.Table:
-    """Of a bucket's pairs those that occur `least` times in all, with their id and a row for each chunk that has them; the first row of each has the total f.
+    """Of a bucket's pairs those that occur `least` times in all, with their totals and ids, in a row without a chunk, and for each chunk a row of those that it has, packed.
 
     The id is the place among the bucket's frequent pairs in order, times the number of
     buckets, plus the bucket's own number: unique, dense, and the same whenever it is made.
@@ -173,13 +175,27 @@ def counted(bucket: pa.Table, least: int, buckets: int, last: bool) -> pa.Table:
     total, size = np.add.reduceat(n, fresh), np.diff(np.append(fresh, len(n)))
     kept = total >= least
     first = fresh[kept]
-    if last:
-        return pa.table({"left": left[first], "right": right[first], "f": total[kept]})
-    rows = np.flatnonzero(np.repeat(kept, size))
-    name = np.repeat(np.arange(kept.sum()) * buckets + bucket.column("bucket")[0].as_py(), size[kept])
-    own = np.isin(rows, first, assume_unique=True)
-    f = pa.array(np.repeat(total[kept], size[kept]), pa.int64(), mask=~own)
-    return pa.table({"chunk": chunk[rows], "left": left[rows], "right": right[rows], "id": pa.array(name, pa.int64()), "f": f})
+    number = np.arange(len(first)) * buckets + bucket.column("bucket")[0].as_py()
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (left[first], right[first], number, total[kept])]
+    if last or not len(first):
+        return pa.table([pa.array([None], pa.int64()), pa.array([None], pa.binary()), *lists], names=["chunk", "names", "left", "right", "id", "f"])
+    rows, name = np.flatnonzero(np.repeat(kept, size)), np.repeat(number, size[kept])
+    order = np.argsort(chunk[rows], kind="stable")  # within a chunk by pair
+    rows, name = rows[order], name[order]
+    own, start = np.unique(chunk[rows], return_index=True)
+    blobs = [packed(np.concatenate([np.diff(left[rows[a:b]], prepend=0), right[rows[a:b]], name[a:b]])) for a, b in zip(start, np.append(start, len(rows))[1:], strict=True)]
+    none = pa.nulls(len(own), pa.list_(pa.int64()))
+    return pa.table([pa.array([*own.tolist(), None], pa.int64()), pa.array([*blobs, None], pa.binary()), *(pa.concat_arrays([none, x]) for x in lists)], names=["chunk", "names", "left", "right", "id", "f"])
+
+
+def _counter(least: int, buckets: int, last: bool):
+    return lambda bucket: counted(bucket, least, buckets, last)
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """A row for each frequent pair: its parents, id and total."""
+    rows = found.where("chunk is null").select(F.explode(F.arrays_zip("left", "right", "id", "f")).alias("_p"))
+    return rows.select(*[F.col(f"_p.{c}").alias(c) for c in ("id", "left", "right", "f")])
 
 
 def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -247,17 +263,15 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     found = stored(named(words.repartition(parts(spark), "lang", "word"), ["lang", "word"], least), "level1")
     none = F.array().cast("array<bigint>")
     below = found.where("f is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))
-    names = found.select("chunk", F.lit(1).alias("level"), F.col("code").alias("left"), F.lit(None).cast("bigint").alias("right"), "id")
+    names = found.select("chunk", F.lit(1).alias("level"), "code", "id", F.lit(None).cast("binary").alias("names"))
     words_in_all = total.agg(F.sum("n")).first()[0] or 0
     levels, buckets = [], max(BUCKETS * parts(spark), words_in_all // BUCKET_WORDS)
     for k in range(2, longest + 1):
         beside = base.select("chunk", "sequence").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(lambda a, b: pairs_of(a, b, buckets), "chunk bigint, bucket bigint, pairs binary")
-        if k < longest:
-            found = stored(beside.groupBy("bucket").applyInArrow(lambda t: counted(t, least, buckets, False), "chunk bigint, left bigint, right bigint, id bigint, f bigint"), f"level{k}")
-            names = names.unionByName(found.select("chunk", F.lit(k).alias("level"), "left", "right", "id"))
-            level = found.where("f is not null").select("id", "left", "right", "f")
-        else:  # nothing is built on the last level: its counts are enough
-            level = beside.groupBy("bucket").applyInArrow(lambda t: counted(t, least, buckets, True), "left bigint, right bigint, f bigint").withColumn("id", F.lit(None).cast("bigint"))
+        pairs = beside.groupBy("bucket").applyInArrow(_counter(least, buckets, k == longest), "chunk bigint, names binary, left array<bigint>, right array<bigint>, id array<bigint>, f array<bigint>")
+        found = stored(pairs, f"level{k}")
+        more = found.where("chunk is not null").select("chunk", F.lit(k).alias("level"), F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("id"), "names")
+        names, level = names.unionByName(more), totals(found)
         below = stored(parents(level, below), f"phrases{k}")
         levels.append(below)
     shown = []
