@@ -231,6 +231,57 @@ def test_mixing_of_many_sources(spark):
     assert (np.diff(out[out._source == "big"].groupby("_block")._slot.first().sort_index()) > 0).all() and big[-1] > n  # it lasts when the small ones have ended
 
 
+def brute_flow(sizes, weights):
+    """(source, block) by slot: one earliest-deadline schedule over all slots, windows from a sum over all sources for each block."""
+    blocks, out = {s: -(-n // op3_mixing.BLOCK) for s, n in sizes.items()}, []
+    given = {s: Fraction(weights.get(s, n**0.5)) for s, n in sizes.items()}
+    for some in ({s: w for s, w in given.items() if w > 0}, {s: Fraction(1) for s, w in given.items() if w <= 0}):
+        reached = lambda v: sum(min(Fraction(blocks[s]), w * v) for s, w in some.items())  # noqa: B023, E731
+        jobs = [(reached(j / w) // 1, -(-reached((j + 1) / w) // 1), s, j) for s, w in some.items() for j in range(blocks[s])]
+        for t in range(len(jobs)):
+            due, s, j = min(x[1:] for x in jobs if x[0] <= t)
+            assert t < due
+            jobs.remove(next(x for x in jobs if x[2:] == (s, j)))
+            out.append((s, j))
+    return out
+
+
+def test_mixing_equals_one_schedule_over_all_slots(spark, monkeypatch):
+    """Whatever the spans and classes; with sources of one size, of many, of given weights, some last."""
+    rng = random.Random(5)
+    for span, parts, given, sizes in (
+        (4096, 1024, {}, [500] * 6),
+        (8, 1024, {}, [rng.choice([1, 64, 65, 700, 5000]) for _ in range(30)]),
+        (8, 5, {"s0": 0.0, "s1": 1e-7, "s2": 1000.0, "s3": 1 / 3, "s4": 0.0}, [rng.randrange(1, 1500) for _ in range(25)]),
+        (1, 1024, {"s1": 0.1}, [rng.randrange(1, 900) for _ in range(8)]),
+    ):
+        monkeypatch.setattr(op3_mixing, "SPAN", span)
+        monkeypatch.setattr(op3_mixing, "PARTS", parts)
+        sizes = {f"s{i}": n for i, n in enumerate(sizes)}
+        rows = [(f"{s}-{i}", s) for s, n in sizes.items() for i in range(n)]
+        out = op3_mixing.mix(spark.createDataFrame(rows, "doc_id string, source string"), given).toPandas()
+        assert len(out) == len(rows) == out.doc_id.nunique() and out.groupby("_slot")._block.nunique().max() == 1
+        got = out.groupby("_slot")[["_source", "_block"]].first().sort_index()
+        assert list(got.index) == list(range(len(got)))
+        assert list(got.itertuples(index=False, name=None)) == brute_flow(sizes, given)
+
+
+def test_mixing_of_any_number_of_sources_within_a_block(spark):
+    """Below 512 sources and above by one rule: no source is a block off its exact share at any slot."""
+    for n in (300, 700):
+        sizes = {f"s{i}": 1 + i * 37 % 300 for i in range(n)} | {"big0": 9000, "big1": 5000, "big2": 2500}
+        docs = spark.createDataFrame([(s, k) for s, k in sizes.items()], "source string, k int").selectExpr("source", "explode(sequence(1, k)) AS i").selectExpr("concat(source, '-', i) AS doc_id", "source")
+        out = op3_mixing.mix(docs).groupBy("_slot").agg(F.first("_source").alias("s")).toPandas().sort_values("_slot")
+        names = list(sizes)
+        blocks, w = np.array([-(-k // op3_mixing.BLOCK) for k in sizes.values()]), np.array([k**0.5 for k in sizes.values()])
+        ends = np.sort(blocks / w)
+        slots = np.minimum(blocks, np.outer(np.append(0, ends), w)).sum(1)
+        shares = np.minimum(blocks, np.outer(np.interp(np.arange(len(out) + 1), slots, np.append(0, ends)), w))
+        had = np.zeros((len(out) + 1, len(names)))
+        had[np.arange(1, len(out) + 1), [names.index(s) for s in out.s]] = 1
+        assert len(out) == blocks.sum() and np.abs(had.cumsum(0) - shares).max() < 1 + 1e-9
+
+
 PAGES = [
     (1, "https://a.org/x/1", "<nav>menu</nav><article><h1>T &amp; u</h1><p>one  two<br>three</article><footer>f</footer>"),
     (2, "https://a.org/x/2", "<div>shared line</div><div>own text of two</div><div class='sidebar'>s</div>"),
