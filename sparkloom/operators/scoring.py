@@ -19,9 +19,14 @@ def overall_confidence(scores: dict[str, Column]) -> Column:
     return F.round(F.least(F.lit(1.0), total + sum((get(k) * w for k, w in BONUS.items()), F.lit(0.0))), 2)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The double shifted by so many digits to its nearest integer and back, as SQL and Math.round do it; F.round goes by the digits as printed."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def agreement(base: Column, methods: Column) -> Column:
     """A bonus for two (.10) or more (.15) methods that agree, 1 at most."""
-    return F.least(F.lit(1.0), F.round(base + F.when(methods >= 3, 0.15).when(methods == 2, 0.10).otherwise(0.0), 2))
+    return F.least(F.lit(1.0), rounded(base + F.when(methods >= 3, 0.15).when(methods == 2, 0.10).otherwise(0.0), 2))
 
 
 def ensemble(rows: DataFrame, key: list[str], field: str, method: str, confidence: str, value: str, preferred: str, tie: str) -> DataFrame:

@@ -115,3 +115,10 @@ def test_queue(spark):
     assert queue.next_jobs(state).first()["job_id"] == 2
     assert queue.admit(spark.createDataFrame([("s",), ("u",), ("u",)], "site string"), state, ["site"]).collect() == [("u",)]
     assert [r["job_id"] for r in queue.recover(state).collect()] == [1]
+
+
+def test_scores_round_as_sql_does(spark):
+    """0.235 + 0.1 prints as 0.33499999999999996, its hundredfold is 33.5; 0.285 is 28.499999999999996 hundredths."""
+    rows = spark.createDataFrame([(0.235, 2, 0.34), (0.285, 1, 0.28), (0.145, 1, 0.14), (0.185, 3, 0.34), (0.95, 3, 1.0), (None, 2, None)], "base double, methods int, want double")
+    assert all(r.got == r.want for r in rows.select(scoring.agreement(F.col("base"), F.col("methods")).alias("got"), "want").collect() if r.want is not None)
+    assert spark.range(1).select(scoring.rounded(F.lit(-0.285), 2), scoring.rounded(F.lit(-0.5), 0), scoring.rounded(F.lit(None).cast("double"), 2)).first()[:] == (-0.28, -1.0, None)
