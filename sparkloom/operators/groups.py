@@ -69,6 +69,16 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), digits)
 
 
+def whole_mean(value: Column) -> Column:
+    """Aggregate: the mean as the nearest integer, halves away from zero; values count to nine decimals.
+
+    Sums are exact, so a mean of exactly a half doesn't depend on the order in which partial sums of doubles meet.
+    """
+    total, n = F.sum(value.cast("decimal(20,9)")), F.count(value).cast("decimal(19,0)")
+    up, unit = F.abs(total) * 2 + n, F.nullif(n * 2, F.lit(0))
+    return (F.signum(total) * ((up - up % unit) / unit)).cast("int")
+
+
 def severity_max(status: Column, order: list[str]) -> Column:
     """Aggregate: the status that stands last in the order."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.groups import carry_forward, severity_max
+from sparkloom.operators.groups import carry_forward, severity_max, whole_mean
 
 # Statuses from least to most severe.
 SEVERITY = ["CHECK_FAILED", "NO_EXPLICIT_RESTRICTION", "POLICY_NOT_FOUND", "UNCLEAR_NEEDS_REVIEW", "REQUIRES_WRITTEN_PERMISSION", "RESTRICTED"]
@@ -29,7 +29,7 @@ def robots(files: DataFrame, key: str, body: str) -> DataFrame:
 
 def merge_verdicts(rows: DataFrame, key: str, status: str, confidence: str, terms: str, most_terms: int = 20) -> DataFrame:
     """Per key the most severe status, mean confidence, and terms seen (sorted, at most so many)."""
-    return rows.groupBy(key).agg(severity_max(F.col(status), SEVERITY).alias("status"), F.round(F.avg(confidence)).cast("int").alias("confidence"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(terms)))), 1, most_terms).alias("terms"))
+    return rows.groupBy(key).agg(severity_max(F.col(status), SEVERITY).alias("status"), whole_mean(F.col(confidence)).alias("confidence"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(terms)))), 1, most_terms).alias("terms"))
 
 
 def nudge(status: Column, disallows_all: Column) -> Column:

@@ -122,3 +122,16 @@ def test_scores_round_as_sql_does(spark):
     rows = spark.createDataFrame([(0.235, 2, 0.34), (0.285, 1, 0.28), (0.145, 1, 0.14), (0.185, 3, 0.34), (0.95, 3, 1.0), (None, 2, None)], "base double, methods int, want double")
     assert all(r.got == r.want for r in rows.select(scoring.agreement(F.col("base"), F.col("methods")).alias("got"), "want").collect() if r.want is not None)
     assert spark.range(1).select(scoring.rounded(F.lit(-0.285), 2), scoring.rounded(F.lit(-0.5), 0), scoring.rounded(F.lit(None).cast("double"), 2)).first()[:] == (-0.28, -1.0, None)
+
+
+#: Cents whose mean is 53.5 dollars; the doubles, added in this order, fall short of it.
+HALF = [597, 9921, 355, 3189, 3031, 11766, 2030, 7852, 3451, 11914, 13120, 1001, 11131, 374, 518]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_means_of_a_half_go_up_in_any_order(spark, parts):
+    rows = [("a", c / 100) for c in HALF] + [("b", -c / 100) for c in reversed(HALF)] + [("c", None), ("d", 3.0), ("d", None), ("e", 2.5), ("f", 1e9)]
+    df = spark.createDataFrame(rows, "k string, c double").coalesce(1)
+    df = df if parts == 1 else df.repartition(parts)
+    got = policy.merge_verdicts(df.withColumns({"s": F.lit("RESTRICTED"), "t": F.array(F.lit("x"))}), "k", "s", "c", "t").collect()
+    assert {r.k: r.confidence for r in got} == {"a": 54, "b": -54, "c": None, "d": 3, "e": 3, "f": 10**9}
