@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.groups import severity_max
+from sparkloom.operators.groups import severity_max, whole_mean
 from sparkloom.operators.policy import SEVERITY
 
 MOST_TERMS, MOST_SNIPPETS = 20, 5
@@ -36,7 +36,7 @@ def merge_results(rows: DataFrame, key: str, place: str, status: str, confidence
     move. Rows of one key need distinct places; a null list counts as empty, keys without values get empty lists.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col(status))
-    top = rows.groupBy(key).agg(severity_max(F.col(status), SEVERITY).alias("status"), F.min_by(place, F.struct(-F.coalesce(rank, F.lit(0)), place)).alias("best"), F.round(F.avg(confidence)).cast("int").alias("confidence"))
+    top = rows.groupBy(key).agg(severity_max(F.col(status), SEVERITY).alias("status"), F.min_by(place, F.struct(-F.coalesce(rank, F.lit(0)), place)).alias("best"), whole_mean(F.col(confidence)).alias("confidence"))
     out = top
     for values, most, distinct in ((terms, MOST_TERMS, True), (snippets, MOST_SNIPPETS, False)):
         found = _first_distinct(rows, key, F.col(place), values, most, distinct)

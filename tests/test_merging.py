@@ -33,6 +33,15 @@ def test_merge_of_a_hot_key(spark):
     assert merging.merge_results(df.limit(0), "key", "place", "status", "confidence", "terms", "snippets", "urls").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_merged_means_of_a_half_go_up_in_any_order(spark, parts):
+    """The mean is 53.5; the doubles, added in this order, fall short of it."""
+    cents = [597, 9921, 355, 3189, 3031, 11766, 2030, 7852, 3451, 11914, 13120, 1001, 11131, 374, 518]
+    df = spark.createDataFrame([("k", i, SEVERITY[0], c / 100, [], [], []) for i, c in enumerate(cents)], "key string, place int, status string, confidence double, terms array<string>, snippets array<string>, urls array<string>").coalesce(1)
+    df = df if parts == 1 else df.repartition(parts)
+    assert merging.merge_results(df, "key", "place", "status", "confidence", "terms", "snippets", "urls").first().confidence == 54
+
+
 def test_one_edit_apart(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(6))) for _ in range(150)})
