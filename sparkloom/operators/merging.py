@@ -50,21 +50,31 @@ def reviewed(rows: DataFrame, key: str, urls: str) -> DataFrame:
     return rows.select(key, F.explode(urls).alias("url")).where("url is not null").distinct()
 
 
-def _shorter(c: Column) -> Column:
-    """A text and all that is left of it without one of its letters."""
+def _without_a_letter(c: Column) -> Column:
+    """What is left of a text without its first letter, without its second, and so on; null for a null."""
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    return F.array_distinct(F.concat(F.array(c), cut))
+    return F.when(F.length(c) > 0, cut).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
-def one_edit_apart(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of texts (a of left, b of right, each distinct) with one insertion, deletion or substitution between.
+def one_edit_apart(left: DataFrame, right: DataFrame, a: str, b: str, times: str | None = None) -> DataFrame:
+    """Pairs of texts (a of left, b of right, each distinct) with one insertion, deletion or substitution between; `times` names a column for how many pairs of rows hold them.
 
-    Two such texts share one of their shorter forms, so an equal join finds all pairs without
-    comparing each with each; the distance decides. Nulls pair with nothing.
+    Texts that differ in the letter at one place are equal without it; of others the shorter one is
+    the longer one without a letter. So an equal join on place and rest (0: the right text is
+    the longer one, -1: the left) finds each pair once, and beside them only texts paired with
+    themselves. Nulls pair with nothing. Both sides are shuffled: Spark takes the tables' size for
+    that of the rests, some twenty times as many letters, and would send these to each task.
     """
-    one = left.select(a).distinct().select(a, F.explode(_shorter(F.col(a))).alias("_s"))
-    two = right.select(b).distinct().select(b, F.explode(_shorter(F.col(b))).alias("_s"))
-    return one.join(two, "_s").where(F.levenshtein(a, b, 1) == 1).select(a, b).distinct()
+
+    def keyed(rows: DataFrame, c: str, n: str, whole: int) -> DataFrame:
+        cut = _without_a_letter(F.col(c))
+        same = F.transform(cut, lambda s, i: F.struct((i + 1).alias("_at"), s.alias("_s")))
+        shorter = F.transform(F.array_distinct(cut), lambda s: F.struct(F.lit(-1 - whole).alias("_at"), s.alias("_s")))
+        own = F.array(F.struct(F.lit(whole).alias("_at"), F.col(c).alias("_s")))
+        return rows.groupBy(c).agg(F.count("*").alias(n)).select(c, n, F.inline(F.concat(same, shorter, own)))
+
+    pairs = keyed(left, a, "_m", 0).join(keyed(right, b, "_n", -1).hint("merge"), ["_at", "_s"]).where(F.col(a) != F.col(b))
+    return pairs.select(a, b, *([(F.col("_m") * F.col("_n")).alias(times)] if times else []))
 
 
 RESULT = "found boolean, confidence double, fields map<string,string>, error string"

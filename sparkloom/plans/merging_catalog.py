@@ -43,7 +43,7 @@ def captured_responses(t):
 def near_names(t):
     """J9 over many names: an equal join of shorter forms in place of all pairs."""
     c = t("customer")
-    return merging.one_edit_apart(c.select(F.col("c_name").alias("name")), c.select(F.col("c_name").alias("other")), "name", "other").groupBy("name").agg(F.count("*").alias("near"))
+    return merging.one_edit_apart(c.select(F.col("c_name").alias("name")), c.select(F.col("c_name").alias("other")), "name", "other", "times").groupBy("name").agg(F.sum("times").alias("near"))
 
 
 def _shared(spark: SparkSession) -> str:

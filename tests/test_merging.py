@@ -107,3 +107,21 @@ def test_a_failing_method_leaves_the_others(spark, tmp_path):
     got = {(r["k"], r["method"]): r for r in out.collect()}
     assert len(got) == 6 and got[1, "good"]["found"] and got[1, "good"]["fields"] == {"title": "h1"} and not got[2, "good"]["found"] and got[2, "good"]["error"] is None
     assert all(got[k, m]["confidence"] == 0 and got[k, m]["fields"] == {} and got[k, m]["error"] for k in (1, 2) for m in ("plan", "task"))
+
+
+def test_one_edit_apart_of_repeated_rows(spark):
+    """Pairs of rows are counted, each pair of texts comes once; the plan sends no side whole to each task, however small the table is thought to be."""
+    a = spark.createDataFrame([("ab",), ("ab",), ("a",), ("",), (None,), ("xab",)], "a string")
+    b = spark.createDataFrame([("ac",), ("ac",), ("ac",), ("b",), ("aa",), ("ab",), (None,), ("a",)], "b string")
+    pairs = merging.one_edit_apart(a, b, "a", "b", "n")
+    got = sorted(tuple(r) for r in pairs.collect())
+    assert got == [("", "a", 1), ("", "b", 1), ("a", "aa", 1), ("a", "ab", 1), ("a", "ac", 3), ("a", "b", 1), ("ab", "a", 2), ("ab", "aa", 2), ("ab", "ac", 6), ("ab", "b", 2), ("xab", "ab", 1)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_names_of_repeated_customers(spark, tmp_path):
+    from sparkloom.plans import merging_catalog
+
+    spark.createDataFrame([("C1",), ("C1",), ("C2",), ("C3",), ("D",)], "c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["name"]: r.near for r in merging_catalog.QUERIES["near_names"](spark, str(tmp_path)).collect()}
+    assert got == {"C1": 4, "C2": 3, "C3": 3}
