@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import urls
-from sparkloom.functions.text import col
+from sparkloom.functions.text import col, let
 from sparkloom.operators.groups import latest_per_group
 
 # For each field the names of JSON keys that are it, that hint at it, and the Hebrew ones; then what its
@@ -49,10 +49,10 @@ def key_score(field: str, key: Column, value: Column) -> Column:
     exact, near, hebrew = KEYS[field]
     marks, least, most = VALUES[field]
     value = F.coalesce(value, F.lit(""))
-    base = F.when(key.rlike(f"(?i)^({exact})$"), 0.9).when(key.rlike(f"(?i){near}"), 0.7).when(key.rlike(hebrew), 0.85).otherwise(0.0)
     more = reduce(lambda a, b: a + b, [F.when(value.rlike(p), x).otherwise(0.0) for p, x in marks])
     odd = (F.length(value) < least) | (F.length(value) > most if most else F.lit(False))
-    return F.when(base > 0, F.floor(F.least(F.lit(1.0), base + more) * F.when(odd, 0.5).otherwise(1.0) * 100 + 0.5) / 100).otherwise(0.0)
+    score = lambda base: F.floor(F.least(F.lit(1.0), F.lit(base) + more) * F.when(odd, 0.5).otherwise(1.0) * 100 + 0.5) / 100
+    return F.when(key.rlike(f"(?i)^({exact})$"), score(0.9)).when(key.rlike(f"(?i){near}"), score(0.7)).when(key.rlike(hebrew), score(0.85)).otherwise(0.0)
 
 
 def listing(items: Column, seen: int = 5) -> Column:
@@ -62,14 +62,15 @@ def listing(items: Column, seen: int = 5) -> Column:
     less for arrays of fewer than five items. An empty or null array finds nothing and scores 0.
     """
     keys = F.array_distinct(F.flatten(F.transform(F.slice(items, 1, seen), F.map_keys)))
-    value = lambda k: F.try_element_at(F.get(items, 0), k)
+    keyed = let(F.get(items, 0), lambda first: F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.try_element_at(first, k).alias("value"), (-i).alias("at"))))
 
-    def best(field):
-        each = F.transform(keys, lambda k, i: F.struct(key_score(field, k, value(k)).alias("confidence"), (-i).alias("at"), k.alias("key")))
-        top = F.array_max(F.filter(each, lambda x: x.confidence > 0))
-        return F.when(top.isNotNull(), F.struct(F.lit(field).alias("field"), top["key"].alias("key"), top["confidence"].alias("confidence")))
+    def best(field, each):
+        scored = F.transform(each, lambda x: F.struct(key_score(field, x["key"], x["value"]).alias("confidence"), x["at"].alias("at"), x["key"].alias("key")))
+        top = F.array_compact(F.array(F.array_max(F.filter(scored, lambda x: x.confidence > 0))))
+        return F.transform(top, lambda x: F.struct(F.lit(field).alias("field"), x["key"].alias("key"), x["confidence"].alias("confidence")))
 
-    return F.array_compact(F.array(*map(best, KEYS)))
+    found = let(keyed, lambda each: F.concat(*[best(f, each) for f in KEYS]))
+    return F.coalesce(found, F.array().cast("array<struct<field:string,key:string,confidence:double>>"))
 
 
 def listing_score(fields: Column, items: Column) -> Column:
@@ -79,8 +80,13 @@ def listing_score(fields: Column, items: Column) -> Column:
 
 def endpoints(arrays: DataFrame, group: str, path: str, items: str, position: str) -> DataFrame:
     """Per group the array of the best score among those of three items and two fields at least, ties to the first."""
-    found = arrays.withColumn("fields", listing(F.col(items))).where((F.size(items) >= 3) & (F.size("fields") >= 2)).withColumn("score", listing_score(F.col("fields"), F.col(items)))
-    return latest_per_group(found.select(group, path, position, "fields", "score", F.size(items).alias("n")), [group], [F.col("score").desc(), F.col(position)])
+    def scored(x: Column) -> Column:
+        made = let(listing(x), lambda f: F.array(F.struct(f.alias("fields"), listing_score(f, x).alias("score"), F.size(x).alias("n"))))
+        return F.filter(F.when(F.size(x) >= 3, made), lambda r: F.size(r["fields"]) >= 2)
+
+    # the outer form: no filter that scores the arrays once more
+    found = arrays.select(group, path, position, F.inline_outer(let(F.col(items), scored))).where(F.col("n").isNotNull())
+    return latest_per_group(found, [group], [F.col("score").desc(), F.col(position)])
 
 
 def json_path(path: Column, key: Column) -> Column:

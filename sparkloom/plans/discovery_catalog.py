@@ -44,13 +44,13 @@ _ARRAY = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 SELECT l_orderkey, n, '$' AS path, '$[*].jobTitle:' || a || ',$[*].city:' || b AS fields, round((a + b) / 2 * least(1.0, n / 5), 6) AS score FROM s""")
 def listing_endpoints(t):
     """An order's lines as the items of an array, beside a second, longer one that holds no fields."""
-    rows = t("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.create_map(F.lit("jobTitle"), F.repeat(F.lit("x"), (F.col("l_partkey") % 12 + 1).cast("int")), F.lit("city"), F.lit("Haifa"), F.lit("id"), F.col("l_linenumber").cast("string")).alias("item")).alias("r"))
-    # a map can't be ordered, so it goes beside the sort key
-    arrays = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.struct("r.l_linenumber", "r.l_partkey", "r.l_suppkey", "r.l_extendedprice").alias("k"), F.to_json("r.item").alias("item"))).alias("a"))
-    items = F.transform(F.array_sort("a"), lambda x: F.from_json(x["item"], "map<string,string>"))
-    one = arrays.select("l_orderkey", F.lit("$").alias("path"), F.lit(0).alias("at"), items.alias("items"))
-    other = arrays.select("l_orderkey", F.lit("meta.pages").alias("path"), F.lit(1).alias("at"), F.array_repeat(F.create_map(F.lit("id"), F.lit("1")), 9).alias("items"))
-    best = discovery.endpoints(one.unionByName(other), "l_orderkey", "path", "items", "at")
+    # items are made of the sorted keys, as a map can't be ordered; both arrays come from one pass over an order
+    sorted_keys = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    item = lambda k: F.create_map(F.lit("jobTitle"), F.repeat(F.lit("x"), (k["l_partkey"] % 12 + 1).cast("int")), F.lit("city"), F.lit("Haifa"), F.lit("id"), k["l_linenumber"].cast("string"))
+    one = F.struct(F.lit("$").alias("path"), F.lit(0).alias("at"), F.transform("k", item).alias("items"))
+    other = F.struct(F.lit("meta.pages").alias("path"), F.lit(1).alias("at"), F.array_repeat(F.create_map(F.lit("id"), F.lit("1")), 9).alias("items"))
+    arrays = t("lineitem").groupBy("l_orderkey").agg(sorted_keys.alias("k")).select("l_orderkey", F.inline(F.array(one, other)))
+    best = discovery.endpoints(arrays, "l_orderkey", "path", "items", "at")
     shown = F.array_join(F.transform("fields", lambda x: F.concat(discovery.json_path(F.col("path"), x.key), F.lit(":"), x.confidence.cast("string"))), ",")
     return best.select("l_orderkey", F.col("n").cast("bigint").alias("n"), "path", shown.alias("fields"), F.round("score", 6).alias("score"))
 

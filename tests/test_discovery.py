@@ -50,3 +50,15 @@ def test_boards_need_their_own_host(spark):
 def test_scope_takes_signs_as_they_are(spark):
     scope = lambda u, p: one(spark, discovery.field_scope(F.lit(u), F.lit(2), F.lit(p)))
     assert scope("https://a.com/x?q=1", "https://a.com/x?q=*") == "listing" and scope("https://aXcom/", "https://a.com/") == "detail" and scope("https://a.com/(1)", "https://a.com/(*)") == "listing"
+
+
+def test_arrays_are_scored_once(spark, tmp_path):
+    """One pass over the lines, and each test of a key stands once in the plan, however many uses its score has."""
+    from sparkloom.plans import discovery_catalog
+
+    rows = [(o, p, 1, n, 1.0) for o, k in ((1, 6), (2, 3), (3, 2), (None, 4)) for n, p in enumerate(range(7, 7 + k))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    best = discovery_catalog.listing_endpoints(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet"))
+    assert sorted((r.l_orderkey or 0, r.n, r.path, r.score) for r in best.collect()) == [(0, 4, "$", 0.76), (1, 6, "$", 0.95), (2, 3, "$", 0.57)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("(?i)^(title|jobTitle") == 1
