@@ -87,7 +87,9 @@ def record_key(url: str, ident: str, title: str, location: str) -> Column:
 def deduplicate(records: DataFrame, order: list[Column]) -> DataFrame:
     """The first of valid records with one key; a key without any content is never a duplicate."""
     key = record_key("url", "externalJobId", "title", "location")
-    return first_occurrence(records.where(F.col("status").startswith("valid")), key, order, exempt=key == "|")
+    # the generator holds the test above the fields: as a plain filter it is made once more from the raw map, all recovery included
+    valid = records.withColumn("_valid", F.explode_outer(F.array(F.col("status").startswith("valid")))).where("_valid").drop("_valid")
+    return first_occurrence(valid, key, order, exempt=key == "|")
 
 
 def identify(records: DataFrame, order: list[Column]) -> DataFrame:

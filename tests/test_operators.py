@@ -150,3 +150,12 @@ def test_dom_text_query_of_cut_pages(spark, tmp_path):
 
     spark.createDataFrame([(1, "u", "<h1>This &amp;&amp</h1><li>a&ampb&lt;</li>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert catalog.QUERIES["dom_text"](spark, str(tmp_path)).first().text == "This &&amp\n• a&ampb<"
+
+
+def test_records_are_made_once(spark):
+    """The test of the status isn't pushed below the fields, where it would make them all once more: each pattern stands once in the plan."""
+    raw = spark.createDataFrame([(i, {"title": f"T{i // 2}", "description": "Department: R&D | Location: Haifa", "detailUrl": f"u{i // 2}"}) for i in range(6)] + [(9, {"title": "Home"}), (10, {})], "i int, raw map<string,string>")
+    out = records.pipeline(raw, [F.col("i")]).select("i", "title", "status", "location", "jobId", "collision")
+    assert sorted((r.i, r.location) for r in out.collect()) == [(0, "Haifa"), (2, "Haifa"), (4, "Haifa")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("keyframes") == 1 and len(plan) < 100_000
