@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import urljoin
 
@@ -204,12 +204,35 @@ def located(page: str | None, url: str | None = None, selectors: dict[str, str]
     return {"pieces": pieces, "elements": rows}
 
 
-def located_udf(page: Column | str, url: Column | str | None = None, selectors: dict[str, str] | None = None, names: tuple[str, ...] = (), every: str | None = None) -> Column:
-    def batch(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        found = [located(p, None if pd.isna(u) else u, selectors, names, every) for p, u in zip(pages, urls)]
-        return pd.DataFrame({c: pd.Series([x[c] for x in found], dtype=object) for c in ("pieces", "elements")})
+#: Letters of pages that are parsed before their elements go back: these take some sixty times as much memory.
+CHUNK = 1 << 18
 
-    return F.pandas_udf(batch, f"pieces:array<string>,elements:array<struct<{_SHAPE}>>")(page, F.lit(None).cast("string") if url is None else url)
+
+def framed(parts: Iterator[tuple[pd.Series, pd.Series]], made: Callable[[str | None, str | None], dict]) -> Iterator[pd.DataFrame]:
+    """What is made of each page and its address, in frames that end with the page that fills the chunk or ends the batch."""
+    for pages, urls in parts:
+        found, letters = [], 0
+        for i, (p, u) in enumerate(zip(pages, urls, strict=True), 1):
+            found.append(made(p, None if pd.isna(u) else u))
+            letters += len(p or "")
+            if letters >= CHUNK or i == len(pages):
+                yield pd.DataFrame({c: pd.Series([x[c] for x in found], dtype=object) for c in ("pieces", "elements")})
+                found, letters = [], 0
+
+
+def located_udf(page: Column | str, url: Column | str | None = None, selectors: dict[str, str] | None = None, names: tuple[str, ...] = (), every: str | None = None, only: tuple[str, ...] = ()) -> Column:
+    """`located` in tasks, a few pages at a time, however many an Arrow batch brings; `only` names the parts of elements that are needed, without them all are given."""
+    shape = {k: kind for k, kind in re.findall(r"(\w+):(\w+(?:<.*?>)?)", _SHAPE) if not only or k in only}
+
+    def made(p: str | None, u: str | None) -> dict:
+        found = located(p, u, selectors, names, every)
+        return found if not only else {"pieces": [], "elements": [{k: x[k] for k in shape} for x in found["elements"]]}
+
+    def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return framed(parts, made)
+
+    kinds = ",".join(f"{k}:{kind}" for k, kind in shape.items())
+    return F.pandas_udf(batches, f"pieces:array<string>,elements:array<struct<{kinds}>>")(page, F.lit(None).cast("string") if url is None else url)
 
 
 def _sum(points: list[tuple[Column, int]]) -> Column:
@@ -445,7 +468,7 @@ def block_classes(e: Column) -> Column:
 
 def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """A page's classified blocks; `chosen` marks the best of each class, the first of equal ones: each block has one class, each class one block."""
-    rows = pages.select(key, block_classes(located_udf(html)["elements"]).alias("_b"))
+    rows = pages.select(key, block_classes(located_udf(html, only=("at", "tag", "text", "size", "repeats", "label", "before"))["elements"]).alias("_b"))
     kind = "struct<class:string,points:int,at:int>"
     start = F.array().cast(f"array<{kind}>")
 

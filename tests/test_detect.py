@@ -299,3 +299,25 @@ def test_detected_items_query_of_cut_pages(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.com/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = detect_catalog.detected_items(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).orderBy("item").collect()
     assert [tuple(r) for r in got] == [(1, 0, "One&ltx", "https://a.com/a?x=1&copy=2", "In &&&amp"), (1, 1, "Two & more", "https://a.com/b", "In &&&amp")]
+
+
+def test_pages_go_back_in_chunks():
+    """However many pages a batch brings, no more than a chunk and a page are held; null and empty pages keep their rows."""
+    import pandas as pd
+
+    rows = [None, "", *["<p>" + "x" * 999] * 2000, "<p>" + "y" * (2 * detect.CHUNK), None]
+    sizes, held = [], []
+    for frame in detect.framed(iter([(pd.Series(rows), pd.Series([None] * len(rows))), (pd.Series(["<b>z"]), pd.Series(["u"]))]), lambda p, u: held.append(p) or {"pieces": [], "elements": [p]}):
+        sizes.append(len(frame))
+        assert sum(len(x or "") for x in held[:-1]) < 2 * detect.CHUNK and [x[0] for x in frame["elements"]] == held
+        held.clear()
+    assert sum(sizes) == len(rows) + 1 and len(sizes) > 6
+
+
+def test_blocks_take_only_the_parts_they_need(spark):
+    df = spark.createDataFrame([(1, "<div><h1>Nurse wanted</h1><p>Location: Haifa</p></div>"), (2, None), (3, "")], "k int, h string")
+    kind = df.select(detect.located_udf("h", only=("at", "tag", "values"))["elements"].alias("e")).schema["e"].dataType.simpleString()
+    assert kind == "array<struct<at:int,tag:string,values:map<string,string>>>"
+    blocks = detect.page_blocks(df, "k", "h")
+    assert sorted((r.k, r.at, r["class"]) for r in blocks.collect() if r.at) == [(1, 1, "job_title"), (1, 2, "location")]
+    assert "struct<at:int,last:int" not in blocks._jdf.queryExecution().analyzed().toString() and "begin" not in blocks._jdf.queryExecution().analyzed().toString()
